@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pedigraph.operators.common import computed
+from pedigraph.session import tuned
 from pedigraph.sources.tables import Trio
 from pedigraph.sources.vcf import VcfFile, VcfHeader, parse_records
 
@@ -126,5 +127,5 @@ def call_lines(numbers: DataFrame) -> DataFrame:
 
 
 def trio_calls(spark: SparkSession, folder: str) -> VcfFile:
-    lines = call_lines(call_numbers(spark, folder))
+    lines = call_lines(call_numbers(tuned(spark), folder))
     return VcfFile(VcfHeader("derived", (), SAMPLES), parse_records(lines))

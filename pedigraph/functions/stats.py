@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from pedigraph.functions.numeric import let
+from pedigraph.functions.numeric import item, let
 
 _SMALL = 20
 _LN_FACT_SMALL = "array(" + ", ".join(f"{math.lgamma(i + 1.0)!r}D" for i in range(_SMALL)) + ")"
@@ -43,39 +43,52 @@ def ln_binom_pmf(k: Column, n: Column, p) -> Column:
     )
 
 
-def _pmf_sum(lo: Column, hi: Column, n: Column, p) -> Column:
-    """Sum of the binomial pmf over lo..hi (lo <= hi), with the n-only terms taken once."""
-    q = _clamp_p(p)
-    base = F.struct(
-        (ln_fact(n) + n.cast("double") * F.ln(F.lit(1.0) - q)).alias("c"),
-        (F.ln(q) - F.ln(F.lit(1.0) - q)).alias("odds"),
-        n.alias("n"),
-    )
-    return let(
-        base,
-        lambda b: F.aggregate(
-            F.sequence(lo, hi),
-            F.lit(0.0),
-            lambda acc, i: acc + F.exp(b["c"] - ln_fact(i) - ln_fact(b["n"] - i) + i.cast("double") * b["odds"]),
-        ),
-    )
+def _tail(start: Column, end: Column, n: Column, p: Column, up: bool) -> Column:
+    """Sum of the pmf from ``start`` outward to ``end``: the first term times a sum of ratio products.
+
+    Away from the mode every ratio is below 1, so nothing overflows and one
+    multiplication per term is enough.
+    """
+    odds = p / (F.lit(1.0) - p)
+
+    def step(acc, i):
+        x = i.cast("double")
+        ratio = (n - x + 1.0) / x * odds if up else (x + 1.0) / (n - x) / odds
+        t = acc["t"] * ratio
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    walk = F.sequence(start + 1, end) if up else F.sequence(start - 1, end, F.lit(-1).cast("bigint"))
+    more = (start < end) if up else (start > end)
+    total = F.when(more, F.aggregate(walk, one, step)["s"]).otherwise(F.lit(1.0))
+    return F.exp(ln_binom_pmf(start, n, p)) * total
+
+
+def _upper(k: Column, n: Column, p: Column) -> Column:
+    return _tail(k, n, n, p, up=True)
+
+
+def _lower(k: Column, n: Column, p: Column) -> Column:
+    return _tail(k, F.lit(0).cast("bigint"), n, p, up=False)
 
 
 def binom_cdf(k, n, p) -> Column:
     """P(X <= k)."""
-    k, n = as_col(k).cast("bigint"), as_col(n).cast("bigint")
+    k, n, p = as_col(k).cast("bigint"), as_col(n).cast("bigint"), _clamp_p(p)
     return (
         F.when(k < 0, F.lit(0.0)).when(k >= n, F.lit(1.0))
-        .otherwise(F.least(F.lit(1.0), _pmf_sum(F.lit(0).cast("bigint"), F.greatest(k, F.lit(0)), n, p)))
+        .when(k <= n * p, F.least(F.lit(1.0), _lower(k, n, p)))
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - _upper(k + 1, n, p)))
     )
 
 
 def binom_sf(k, n, p) -> Column:
     """P(X >= k); 0 when k is above n."""
-    k, n = as_col(k).cast("bigint"), as_col(n).cast("bigint")
+    k, n, p = as_col(k).cast("bigint"), as_col(n).cast("bigint"), _clamp_p(p)
     return (
         F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0))
-        .otherwise(F.least(F.lit(1.0), _pmf_sum(F.least(k, n), n, n, p)))
+        .when(k >= n * p, F.least(F.lit(1.0), _upper(k, n, p)))
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - _lower(k - 1, n, p)))
     )
 
 
@@ -92,33 +105,36 @@ def wilson_interval(k, n, z: float = 1.96) -> Column:
 
 
 def fisher_exact(a, b, c, d) -> Column:
-    """Two-sided Fisher exact p-value of the table [[a, b], [c, d]]."""
-    a, b, c, d = (as_col(v).cast("bigint") for v in (a, b, c, d))
-    margins = F.struct((a + b).alias("r"), (a + c).alias("m"), (a + b + c + d).alias("n"), a.alias("a"))
-
-    def p_value(t):
-        r, m, n = t["r"], t["m"], t["n"]
+    """Two-sided Fisher exact p-value of the table [[a, b], [c, d]].
 
-        def ln_p(x):
-            return (
-                ln_fact(r) + ln_fact(n - r) + ln_fact(m) + ln_fact(n - m) - ln_fact(n)
-                - ln_fact(x) - ln_fact(r - x) - ln_fact(m - x) - ln_fact(n - r - m + x)
-            )
-
-        lo, hi = F.greatest(F.lit(0).cast("bigint"), r + m - n), F.least(r, m)
-        return let(
-            ln_p(t["a"]),
-            lambda obs: F.least(
-                F.lit(1.0),
-                F.aggregate(
-                    F.sequence(lo, hi),
-                    F.lit(0.0),
-                    lambda acc, x: acc + let(ln_p(x), lambda v: F.when(v <= obs + 1e-7, F.exp(v)).otherwise(0.0)),
-                ),
-            ),
-        )
-
-    return let(margins, p_value)
+    Terms are taken relative to the observed table, walking outward from it, and
+    count when they are not larger than it (up to 1e-7 in the logarithm).
+    """
+    a, b, c, d = (as_col(v).cast("bigint") for v in (a, b, c, d))
+    r, m, n = a + b, a + c, a + b + c + d
+    lo, hi = F.greatest(F.lit(0).cast("bigint"), r + m - n), F.least(r, m)
+    limit = math.exp(1e-7)
+
+    def step(up):
+        def one(acc, i):
+            x = i.cast("double")
+            # p(x) / p(x - 1) going up, p(x) / p(x + 1) going down
+            ratio = ((r - x + 1.0) * (m - x + 1.0) / (x * (n - r - m + x)) if up
+                     else (x + 1.0) * (n - r - m + x + 1.0) / ((r - x) * (m - x)))
+            t = acc["t"] * ratio
+            return F.struct(t.alias("t"), (acc["s"] + F.when(t <= limit, t).otherwise(0.0)).alias("s"))
+        return one
+
+    zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+    above = F.when(a < hi, F.aggregate(F.sequence(a + 1, hi), zero, step(True))["s"]).otherwise(F.lit(0.0))
+    below = F.when(
+        a > lo, F.aggregate(F.sequence(a - 1, lo, F.lit(-1).cast("bigint")), zero, step(False))["s"]
+    ).otherwise(F.lit(0.0))
+    observed = F.exp(
+        ln_fact(r) + ln_fact(n - r) + ln_fact(m) + ln_fact(n - m) - ln_fact(n)
+        - ln_fact(a) - ln_fact(b) - ln_fact(c) - ln_fact(d)
+    )
+    return F.least(F.lit(1.0), observed * (F.lit(1.0) + above + below))
 
 
 def log_sum_exp(values: Column) -> Column:
@@ -135,69 +151,77 @@ def log_sum_exp(values: Column) -> Column:
 # --------------------------------------------------------------------------- #
 # Trio posterior
 # --------------------------------------------------------------------------- #
-def genotype_log_likelihoods(pl: Column, ref_depth: Column, alt_depth: Column, ploidy: Column, err: float) -> Column:
-    """ln-likelihood per ALT count 0..ploidy up to a common constant, padded to three entries with -inf.
+def genotype_likelihoods(df, name: str, pl: Column, ref_depth: Column, alt_depth: Column, ploidy: Column, err: float):
+    """Add ``name``: struct(l0, l1, l2) of genotype likelihoods scaled so that the best one is 1.
 
     Phred likelihoods are used when there is one per genotype, otherwise a
-    binomial read model with a symmetric error rate.  Its combinatorial term is
-    the same for every genotype and left out.
+    binomial read model with a symmetric error rate; its combinatorial term is the
+    same for every genotype and cancels.  A haploid sample has no l2.
     """
-    ninf = F.lit(float("-inf"))
     step = -math.log(10) / 10.0
-    given = F.transform(pl, lambda v: v.cast("double") * step)
     k, m = alt_depth.cast("double"), ref_depth.cast("double")
-    hom_ref = k * math.log(err) + m * math.log(1 - err)
-    het = (k + m) * math.log(0.5)
-    hom_alt = k * math.log(1 - err) + m * math.log(err)
-    modelled = F.when(ploidy == 1, F.array(hom_ref, hom_alt)).otherwise(F.array(hom_ref, het, hom_alt))
-    chosen = F.when(F.size(pl) == ploidy + 1, given).otherwise(modelled)
-    return F.when(ploidy == 1, F.concat(chosen, F.array(ninf))).otherwise(chosen)
+    hap = ploidy == 1
+    given = F.size(pl) == ploidy + 1
 
+    def phred(i):
+        return item(pl, i).cast("double") * step
 
-def relative_likelihoods(log_lik: Column) -> Column:
-    """Likelihoods scaled so that the best genotype has 1 (the scale cancels in a posterior)."""
-    return let(F.array_max(log_lik), lambda m: F.transform(log_lik, lambda v: F.exp(v - m)))
+    hom_alt = k * math.log(1 - err) + m * math.log(err)
+    raw = df.select(
+        "*", F.when(given, phred(0)).otherwise(k * math.log(err) + m * math.log(1 - err)).alias("_l0"),
+        F.when(given, phred(1)).otherwise(F.when(hap, hom_alt).otherwise((k + m) * math.log(0.5))).alias("_l1"),
+        F.when(~hap, F.when(given, phred(2)).otherwise(hom_alt)).alias("_l2"),
+    ).withColumn("_top", F.greatest("_l0", "_l1", "_l2"))
+    scaled = [
+        F.coalesce(F.exp(F.col(f"_l{i}") - F.col("_top")), F.lit(0.0)).alias(f"l{i}") for i in range(3)
+    ]
+    return raw.withColumn(name, F.struct(*scaled)).drop("_l0", "_l1", "_l2", "_top")
 
 
-def de_novo_posterior(child: Column, father: Column, mother: Column, father_ploidy: Column,
-                      has_father: Column, has_mother: Column, pop_af: Column, mu: Column, floor: float) -> Column:
-    """P(the child's ALT arose de novo) from scaled genotype likelihoods.
+def add_de_novo_posterior(df, name: str, child: str, father: str, mother: str, father_ploidy: Column,
+                          has_father: Column, has_mother: Column, pop_af: Column, mu: Column, floor: float):
+    """Add ``name``: P(the child's ALT arose de novo) from scaled genotype likelihood structs.
 
     The joint sum over parental genotypes factorises: for each parent keep the
     mass that transmits REF and ALT, then convolve the two parents.  An absent
     parent transmits nothing, which is the unit of that convolution.
     """
-    q = F.least(F.greatest(F.coalesce(pop_af, F.lit(0.0)), F.lit(floor)), F.lit(0.5))
-    one = F.lit(1.0)
-
-    def parent(lik, ploidy, present):
-        hap = ploidy == 1
-        w0 = F.when(hap, one - q).otherwise((one - q) * (one - q)) * F.get(lik, F.lit(0))
-        w1 = F.when(hap, q).otherwise(q * (one - q) * 2.0) * F.get(lik, F.lit(1))
-        w2 = F.when(hap, F.lit(0.0)).otherwise(q * q * F.get(lik, F.lit(2)))
-        half = F.when(hap, one).otherwise(F.lit(0.5))
-        t1 = half * (one - mu) + (one - half) * mu
-        alt = w0 * mu + w1 * t1 + w2 * (one - mu)
-        ref = w0 * (one - mu) + w1 * (one - t1) + w2 * mu
-        gives = F.struct(ref.alias("r"), alt.alias("a"), (w0 * (one - mu)).alias("r0"), (w0 * mu).alias("a0"))
-        none = F.struct(one.alias("r"), F.lit(0.0).alias("a"), one.alias("r0"), F.lit(0.0).alias("a0"))
-        return F.when(present, gives).otherwise(none)
-
-    two = F.lit(2)
-    both = F.struct(parent(father, father_ploidy, has_father).alias("f"), parent(mother, two, has_mother).alias("m"),
-                    child.alias("c"))
-
-    def ratio(t):
-        f, m, c = t["f"], t["m"], t["c"]
-        total = (
-            F.get(c, F.lit(0)) * f["r"] * m["r"]
-            + F.get(c, F.lit(1)) * (f["a"] * m["r"] + f["r"] * m["a"])
-            + F.get(c, F.lit(2)) * f["a"] * m["a"]
-        )
-        novo = F.get(c, F.lit(1)) * (f["a0"] * m["r0"] + f["r0"] * m["a0"]) + F.get(c, F.lit(2)) * f["a0"] * m["a0"]
-        return novo / total
-
-    return let(both, ratio)
+    one, nil = F.lit(1.0), F.lit(0.0)
+    base = df.select(
+        "*", F.least(F.greatest(F.coalesce(pop_af, nil), F.lit(floor)), F.lit(0.5)).alias("_q"), mu.alias("_mu")
+    )
+    q, u = F.col("_q"), F.col("_mu")
+
+    def weights(lik, hap):
+        return [
+            F.when(hap, one - q).otherwise((one - q) * (one - q)) * F.col(lik)["l0"],
+            F.when(hap, q).otherwise(q * (one - q) * 2.0) * F.col(lik)["l1"],
+            F.when(hap, nil).otherwise(q * q * F.col(lik)["l2"]),
+        ]
+
+    hap = father_ploidy == 1
+    never = F.lit(False)
+    base = base.select("*", *[w.alias(f"_f{i}") for i, w in enumerate(weights(father, hap))],
+                       *[w.alias(f"_m{i}") for i, w in enumerate(weights(mother, never))])
+
+    def masses(p, haploid, present):
+        w0, w1, w2 = (F.col(f"_{p}{i}") for i in range(3))
+        half = F.when(haploid, one).otherwise(F.lit(0.5))
+        t1 = half * (one - u) + (one - half) * u
+        return [
+            F.when(present, w0 * (one - u) + w1 * (one - t1) + w2 * u).otherwise(one).alias(f"_{p}r"),
+            F.when(present, w0 * u + w1 * t1 + w2 * (one - u)).otherwise(nil).alias(f"_{p}a"),
+            F.when(present, w0 * (one - u)).otherwise(one).alias(f"_{p}r0"),
+            F.when(present, w0 * u).otherwise(nil).alias(f"_{p}a0"),
+        ]
+
+    base = base.select("*", *masses("f", hap, has_father), *masses("m", never, has_mother))
+    fr, fa, fr0, fa0, mr, ma, mr0, ma0 = (F.col(f"_{p}{x}") for p in "fm" for x in ("r", "a", "r0", "a0"))
+    c0, c1, c2 = (F.col(child)[f"l{i}"] for i in range(3))
+    total = c0 * fr * mr + c1 * (fa * mr + fr * ma) + c2 * fa * ma
+    novo = c1 * (fa0 * mr0 + fr0 * ma0) + c2 * fa0 * ma0
+    spare = ["_q", "_mu", *[f"_{p}{x}" for p in "fm" for x in (0, 1, 2, "r", "a", "r0", "a0")]]
+    return base.withColumn(name, novo / total).drop(*spare)
 
 
 def two_class_log_ratio(k: Column, n: Column, p1: Column, p0) -> Column:

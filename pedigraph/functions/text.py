@@ -50,12 +50,12 @@ def _info_pattern(key: str) -> str:
 
 
 def info_has(info: Column, key: str) -> Column:
-    return F.coalesce(info.rlike(_info_pattern(key)), F.lit(False))
+    return F.coalesce(info.contains(key) & info.rlike(_info_pattern(key)), F.lit(False))
 
 
 def info_text(info: Column, key: str) -> Column:
     """Text after ``key=`` (last one wins), NULL when the key is absent or a bare flag."""
-    present = info.rlike(r"^(?:.*;)?" + re.escape(key).replace(r"\-", "-") + r"=[^;]*(?:;.*)?$")
+    present = info.contains(f"{key}=") & info.rlike(r"^(?:.*;)?" + re.escape(key).replace(r"\-", "-") + r"=[^;]*(?:;.*)?$")
     return F.when(present, F.regexp_extract(info, _info_pattern(key), 1))
 
 

@@ -12,7 +12,7 @@ BROADCAST_ROWS = 2_000_000
 
 def session(app: str = "pedigraph", cores: str = "*") -> SparkSession:
     """A local session for the command line and tests; on a cluster pass your own."""
-    return (
+    return tuned(
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +23,17 @@ def session(app: str = "pedigraph", cores: str = "*") -> SparkSession:
     )
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Keep generated methods within what the JVM compiles.
+
+    HotSpot never compiles a method above 8000 bytes of bytecode, so one oversized
+    generated stage would run interpreted.  With this limit Spark runs such a stage
+    operator by operator, each with split (and compiled) projections.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def small_or_shuffled(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a join side for broadcast only when it is counted to be small.
 
