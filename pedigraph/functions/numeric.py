@@ -56,29 +56,37 @@ def sum_from(values: Column, first: int = 0) -> Column:
     return F.when(F.size(values) <= first + 4, few).otherwise(many)
 
 
-def _scaled_even(x: Column, digits: int) -> Column:
-    """Whole number nearest to ``x * 10**digits`` for ``x >= 0``, ties to even."""
-    scale = float(10**digits)
-    c = _SPLIT * scale
+def _even_product(v: Column, scale: Column) -> Column:
+    """Whole number nearest to ``v * scale`` for ``v >= 0`` and an exact ``scale``, ties to even."""
+    c = F.lit(_SPLIT) * scale
     s_hi = c - (c - scale)
     s_lo = scale - s_hi
+    x_hi = F.lit(_SPLIT) * v - (F.lit(_SPLIT) * v - v)
+    x_lo = v - x_hi
+    p = v * scale
+    err = ((x_hi * s_hi - p) + x_hi * s_lo + x_lo * s_hi) + x_lo * s_lo
+    low = F.floor(p)
+    part = p - low
+    return (
+        F.when(part > 0.5, low + 1)
+        .when(part < 0.5, low)
+        .when(err > 0, low + 1)
+        .when(err < 0, low)
+        .otherwise(low + F.pmod(low, F.lit(2)))
+    )
 
-    def pick(v):
-        x_hi = F.lit(_SPLIT) * v - (F.lit(_SPLIT) * v - v)
-        x_lo = v - x_hi
-        p = v * F.lit(scale)
-        err = ((x_hi * s_hi - p) + x_hi * s_lo + x_lo * s_hi) + x_lo * s_lo
-        low = F.floor(p)
-        part = p - low
-        return (
-            F.when(part > 0.5, low + 1)
-            .when(part < 0.5, low)
-            .when(err > 0, low + 1)
-            .when(err < 0, low)
-            .otherwise(low + F.pmod(low, F.lit(2)))
-        )
 
-    return let(x, pick)
+def _even_quotient(v: Column, scale: Column) -> Column:
+    """Whole number nearest to ``v / scale``, ties to even; the tie itself is an exact double."""
+    low = F.floor(v / scale)
+    tie = (low * 2 + 1).cast("double") * scale / 2.0
+    return (
+        F.when(v > tie, low + 1).when(v < tie, low).otherwise(low + F.pmod(low, F.lit(2)))
+    )
+
+
+def _scaled_even(x: Column, digits: int) -> Column:
+    return let(x, lambda v: _even_product(v, F.lit(float(10**digits))))
 
 
 def round_even(x: Column, digits: int) -> Column:
@@ -118,9 +126,9 @@ def _digits_and_exponent(x: Column, sig: int) -> Column:
 
         def scaled(exp):
             shift = F.lit(sig - 1) - exp
-            up = v * F.pow(F.lit(10.0), shift.cast("double"))
-            down = v / F.pow(F.lit(10.0), (-shift).cast("double"))
-            d = F.bround(F.when(shift >= 0, up).otherwise(down), 0).cast("bigint")
+            up = _even_product(v, F.pow(F.lit(10.0), shift.cast("double")))
+            down = _even_quotient(v, F.pow(F.lit(10.0), (-shift).cast("double")))
+            d = F.when(shift >= 0, up).otherwise(down).cast("bigint")
             return (
                 F.when(d >= 10**sig, F.struct(F.lit(10 ** (sig - 1)).cast("bigint").alias("d"), (exp + 1).alias("e")))
                 .otherwise(F.struct(d.alias("d"), exp.cast("int").alias("e")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
+from pedigraph.functions.numeric import fixed
 from pedigraph.functions.stats import logistic
 from pedigraph.operators.graph import signed_weight
 
@@ -70,7 +71,7 @@ def prune(hyps: DataFrame, floor: float = 0.12, require_chain: bool = True, min_
     open_ = (F.col("status") == "active") & F.col("_safe").isNull()
     why = F.concat_ws(
         "; ",
-        F.when(F.col("belief") < floor, F.concat(F.lit("belief "), F.format_string("%.2f", "belief"), F.lit(f" < floor {floor:.2f}"))),
+        F.when(F.col("belief") < floor, F.concat(F.lit("belief "), fixed(F.col("belief"), 2), F.lit(f" < floor {floor:.2f}"))),
         F.when(F.lit(require_chain) & (F.coalesce("chain_score", F.lit(0.0)) <= 0),
                F.lit("no traceable causal chain to a clinical endpoint")),
         F.when((n >= max_negative) & (tier < 4),
@@ -86,12 +87,18 @@ def underpowered(hyps: DataFrame, chain_floor: float = 0.25) -> DataFrame:
                       & (F.coalesce("chain_score", F.lit(0.0)) < chain_floor) & (F.coalesce("n_independent", F.lit(0)) == 0))
 
 
+def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Put the one row of ``totals`` beside every row (a hash join on a constant)."""
+    one = F.lit(1).alias("_one")
+    return df.select("*", one).join(F.broadcast(totals.select("*", one)), "_one").drop("_one")
+
+
 def distribution(hyps: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Belief shares of active rows per group; uniform when nothing has belief."""
     groups = groups or []
     live = hyps.where(F.col("status") == "active")
     totals = live.groupBy(*groups).agg(F.sum("belief").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    joined = live.join(totals, groups) if groups else live.join(F.broadcast(totals), F.lit(True))
+    joined = live.join(totals, groups) if groups else beside(live, totals)
     return joined.withColumn("share", F.when(F.col("_t") > 0, F.col("belief") / F.col("_t")).otherwise(
         F.lit(1.0) / F.col("_n"))).drop("_t", "_n")
 
@@ -141,10 +148,10 @@ def assume_likeliest(outcomes: DataFrame, prior: DataFrame, exp: str) -> DataFra
     won = scored.join(F.broadcast(best), "outcome").withColumn(
         "p", F.col("j") / F.when(F.col("pj") != 0, F.col("pj")).otherwise(1.0))
     mass = mine.select("hyp", "share").distinct().agg(F.sum("share").alias("m"))
-    moved = won.join(F.broadcast(mass), F.lit(True)).select("hyp", (F.col("p") * F.col("m")).alias("_new"))
+    moved = beside(won, mass).select("hyp", (F.col("p") * F.col("m")).alias("_new"))
     x = prior.join(moved, "hyp", "left").withColumn("share", F.coalesce("_new", "share")).drop("_new")
     total = x.agg(F.sum(F.greatest("share", F.lit(0.0))).alias("_t"))
-    return x.join(F.broadcast(total), F.lit(True)).withColumn("share", F.greatest("share", F.lit(0.0)) / F.col("_t")).drop("_t")
+    return beside(x, total).withColumn("share", F.greatest("share", F.lit(0.0)) / F.col("_t")).drop("_t")
 
 
 def plan_experiments(outcomes: DataFrame, prior: DataFrame, experiments: DataFrame, budget: float = 18.0,
