@@ -7,23 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pedigraph.session import small_or_shuffled
 
 
-def global_rank(df: DataFrame, name: str, coarse: Column, order: list[Column]) -> DataFrame:
-    """Add ``name`` = 1..n in the order (``coarse`` ascending, then ``order``).
+def global_rank(df: DataFrame, name: str, score: Column, block: str, within: str) -> DataFrame:
+    """Add ``name`` = 1..n in the order (``score``, ``block``, ``within``), all ascending.
 
-    ``coarse`` is the leading sort value.  Rows are numbered inside a (coarse, part)
-    group, where parts come from a range split of the full order, and shifted by
-    the number of rows in earlier groups, taken from a summary with one row each.
+    Rows are numbered inside a (score, block) group, where a block is a piece of the
+    input of bounded size, and shifted by the rows that come before: those with a
+    smaller score, and those of earlier blocks with the same score.  Both shifts come
+    from counts, so the only global order is over the distinct scores.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_k", coarse).repartitionByRange(parts, F.col("_k"), *order)
-    placed = ranged.withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b")
-    )
-    w = W.partitionBy("_part").orderBy("_k", *order)
-    return (
-        placed.join(small_or_shuffled(before), "_part")
-        .withColumn(name, F.row_number().over(w) + F.col("_b"))
-        .drop("_k", "_part", "_b")
-    )
+    keyed = df.withColumn("_k", score)
+    cells = keyed.groupBy("_k", F.col(block).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    per_score = cells.groupBy("_k").agg(F.sum("_n").alias("_m"))
+    below = per_score.select("_k", F.coalesce(F.sum("_m").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)),
+                                              F.lit(0)).alias("_below"))
+    inside = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    shift = cells.join(below, "_k").select(
+        "_k", "_b", (F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_shift"))
+    rank = F.row_number().over(W.partitionBy("_k", "_b").orderBy(within))
+    numbered = keyed.withColumn("_b", F.col(block)).join(small_or_shuffled(shift), ["_k", "_b"])
+    return numbered.withColumn(name, rank + F.col("_shift")).drop("_k", "_b", "_shift")

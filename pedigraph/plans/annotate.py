@@ -59,7 +59,7 @@ def annotated(records: DataFrame, fields, cfg: dict, genes: DataFrame | None = N
 
 def ranked(x: DataFrame) -> DataFrame:
     """``priority_rank``: best score first, ties in file order."""
-    return ranking.global_rank(x, "priority_rank", -F.col("priority_score"), [F.col("block"), F.col("seq")])
+    return ranking.global_rank(x, "priority_rank", -F.col("priority_score"), "block", "seq")
 
 
 def annotated_table(x: DataFrame) -> DataFrame:
