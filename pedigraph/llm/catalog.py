@@ -1,8 +1,12 @@
 """Registered queries of the pipeline operators and their SQL."""
 
+from pedigraph.llm.chat import op5_chat_format
+from pedigraph.llm.secrets import op2_secret_scan
 from pedigraph.llm.simhash import op8_simhash_near_dup
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op5_chat_format": op5_chat_format,
     "op8_simhash_near_dup": op8_simhash_near_dup,
 }
 
