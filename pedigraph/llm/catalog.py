@@ -1,13 +1,17 @@
 """Registered queries of the pipeline operators and their SQL."""
 
 from pedigraph.llm.chat import op5_chat_format
+from pedigraph.llm.langid import op3_ppm_language
 from pedigraph.llm.secrets import op2_secret_scan
+from pedigraph.llm.sharding import op10_sampled_splitters
 from pedigraph.llm.simhash import op8_simhash_near_dup
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_ppm_language": op3_ppm_language,
     "op5_chat_format": op5_chat_format,
     "op8_simhash_near_dup": op8_simhash_near_dup,
+    "op10_sampled_splitters": op10_sampled_splitters,
 }
 
 ORACLE: dict[str, str] = {}
