@@ -2,11 +2,13 @@
 
 from pedigraph.llm.chat import op5_chat_format
 from pedigraph.llm.langid import op3_ppm_language
+from pedigraph.llm.pieces import op1_pieces
 from pedigraph.llm.secrets import op2_secret_scan
 from pedigraph.llm.sharding import op10_sampled_splitters
 from pedigraph.llm.simhash import op8_simhash_near_dup
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_secret_scan": op2_secret_scan,
     "op3_ppm_language": op3_ppm_language,
     "op5_chat_format": op5_chat_format,
