@@ -1,5 +1,6 @@
 """Registered queries of the pipeline operators and their SQL."""
 
+from pedigraph.llm import licenses, mixing
 from pedigraph.llm.chat import op5_chat_format
 from pedigraph.llm.langid import op3_ppm_language
 from pedigraph.llm.pieces import op1_pieces
@@ -11,9 +12,14 @@ QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_secret_scan": op2_secret_scan,
     "op3_ppm_language": op3_ppm_language,
+    "op4_temperature_mix": mixing.op4_temperature_mix,
     "op5_chat_format": op5_chat_format,
     "op8_simhash_near_dup": op8_simhash_near_dup,
+    "op9_license_diagonals": licenses.op9_license_diagonals,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_temperature_mix": mixing.ORACLE,
+    "op9_license_diagonals": licenses.ORACLE,
+}
