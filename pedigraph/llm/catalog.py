@@ -2,7 +2,9 @@
 
 from pedigraph.llm import licenses, mixing
 from pedigraph.llm.chat import op5_chat_format
+from pedigraph.llm.hashing import op7_multi_index
 from pedigraph.llm.langid import op3_ppm_language
+from pedigraph.llm.pairs import op6_pca_tiles
 from pedigraph.llm.pieces import op1_pieces
 from pedigraph.llm.secrets import op2_secret_scan
 from pedigraph.llm.sharding import op10_sampled_splitters
@@ -14,6 +16,8 @@ QUERIES = {
     "op3_ppm_language": op3_ppm_language,
     "op4_temperature_mix": mixing.op4_temperature_mix,
     "op5_chat_format": op5_chat_format,
+    "op6_pca_tiles": op6_pca_tiles,
+    "op7_multi_index": op7_multi_index,
     "op8_simhash_near_dup": op8_simhash_near_dup,
     "op9_license_diagonals": licenses.op9_license_diagonals,
     "op10_sampled_splitters": op10_sampled_splitters,
