@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pedigraph.llm.common import pick
 
 DOCS_PER_LANGUAGE = 2000
-MAX_CONTEXTS = 20_000
+MAX_CELLS = 1 << 23
 MIN_CONTEXT = 4
 MAX_LANGUAGES = 1000
 _WINDOW = 1 << 19
@@ -121,54 +121,59 @@ def _predict(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(total == 0, shorter, np.where(seen, own, escape * shorter / np.maximum(left, 1e-12)))
 
 
-def freeze(counts: pd.DataFrame, documents: dict[str, int], max_contexts: int = MAX_CONTEXTS) -> Model:
-    """The code-length table of counted windows (lang, gram, n)."""
+def freeze(counts: pd.DataFrame, documents: dict[str, int], max_cells: int = MAX_CELLS) -> Model:
+    """The code-length table of counted windows (lang, gram, n).
+
+    Rows are all contexts of one byte and the heaviest of two and three bytes, as many as
+    ``max_cells`` code lengths allow for the byte classes and languages met; other contexts
+    use the row of their longest kept suffix.
+    """
     languages = tuple(sorted(documents))
-    grams, n = counts["gram"].to_numpy(), counts["n"].to_numpy().astype(float)
-    lang = counts["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
+    grams, n = counts["gram"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=float)
+    lang = counts["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(dtype=float)
     met = np.unique(np.concatenate([grams >> s & 255 for s in (24, 16, 8, 0)] + [np.array([32])]))
     classes = np.zeros(256, dtype=np.int64)
     classes[met] = np.arange(1, len(met) + 1)
     a = len(met) + 1
     c = [classes[grams >> s & 255] for s in (24, 16, 8, 0)]
-    context = (c[0] * a + c[1]) * a + c[2]
-    weight = np.bincount(context, weights=n, minlength=a ** 3)
-    kept = np.argsort(-weight, kind="stable")[:max_contexts]
+    two, three = c[1] * a + c[2], (c[0] * a + c[1]) * a + c[2]
+    weight = np.concatenate([np.bincount(two, weights=n, minlength=a * a), np.bincount(three, weights=n, minlength=a ** 3)])
+    kept = np.argsort(-weight, kind="stable")[: max(0, max_cells // (a * max(1, len(languages))) - a)]
     kept = np.sort(kept[weight[kept] >= MIN_CONTEXT])
-    place = np.full(a ** 3, -1, dtype=np.int32)
-    place[kept] = np.arange(len(kept))
-    bits = np.empty((a * a + len(kept), a, len(languages)), dtype=np.float32)
+    kept2, kept3 = kept[kept < a * a], kept[kept >= a * a] - a * a
+    row2 = np.tile(np.arange(a), a)  # the row of a two-byte context: its own, or that of its last byte
+    row2[kept2] = a + np.arange(len(kept2))
+    rows = np.tile(row2, a)
+    own3 = np.full(a ** 3, -1)
+    own3[kept3] = np.arange(len(kept3))
+    rows[kept3] = a + len(kept2) + np.arange(len(kept3))
+    bits = np.empty((a + len(kept), a, len(languages)), dtype=np.float32)
     for i in range(len(languages)):
         mine = lang == i
         m, sym = n[mine], c[3][mine]
 
-        def table(rows: np.ndarray, count: int) -> np.ndarray:
-            ok = rows >= 0
-            return np.bincount(rows[ok] * a + sym[ok], weights=m[ok], minlength=count * a).reshape(count, a)
+        def table(at: np.ndarray, count: int) -> np.ndarray:
+            ok = at >= 0
+            return np.bincount(at[ok] * a + sym[ok], weights=m[ok], minlength=count * a).reshape(count, a)
 
-        one, two = c[2][mine], c[1][mine] * a + c[2][mine]
         p = _predict(table(np.zeros(len(m), np.int64), 1), np.full((1, a), 1.0 / a))
-        p = _predict(table(one, a), np.repeat(p, a, axis=0))
-        p2 = _predict(table(two, a * a), np.tile(p, (a, 1)))
-        bits[: a * a, :, i] = -np.log2(p2)
-        bits[a * a:, :, i] = -np.log2(_predict(table(place[context[mine]].astype(np.int64), len(kept)), p2[kept % (a * a)]))
-    rows = np.where(place >= 0, a * a + place, np.arange(a ** 3) % (a * a)).astype(np.int32)
+        p1 = _predict(table(c[2][mine], a), np.repeat(p, a, axis=0))
+        p2 = _predict(table(two[mine], a * a), np.tile(p1, (a, 1)))
+        p3 = _predict(table(own3[three[mine]], len(kept3)), p2[kept3 % (a * a)])
+        bits[:, :, i] = -np.log2(np.concatenate([p1, p2[kept2], p3]))
     seen = np.array([documents[v] for v in languages], dtype=float)
-    return Model(languages, _folded(classes), rows, bits.reshape(-1, len(languages)), -np.log2(seen / max(1.0, seen.sum())), float(np.log2(a)))
-
-
-def _folded(classes: np.ndarray) -> np.ndarray:
-    return classes[_FOLD].astype(np.int64)
+    return Model(languages, classes[_FOLD], rows.astype(np.int32), bits.reshape((a + len(kept)) * a, len(languages)),
+                 -np.log2(seen / max(1.0, seen.sum())), float(np.log2(a)))
 
 
-def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS) -> Model:
+def train(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, max_cells: int = MAX_CELLS) -> Model:
     """Frozen statistics of the labelled rows outside the held-out fold.
 
     The sample is bounded by ``per_language`` rows per language (expected), the table by
-    ``max_contexts``; without labelled rows the model knows no language.
+    ``max_cells``; without labelled rows the model knows no language.
     """
     sample, counts = training_rows(docs, per_language)
-    return freeze(gram_counts(sample).toPandas(), counts, max_contexts)
+    return freeze(gram_counts(sample).toPandas(), counts, max_cells)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -1,0 +1,225 @@
+"""Operators on single texts: pieces, secrets, languages, chats, licenses."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+
+import pytest
+
+from pedigraph.llm import chat, langid, licenses, pieces, secrets
+from pedigraph.llm.common import pick
+from tests.llm.helpers import SF, awkward, clashing, empty
+
+MODEL = open(pieces.PIECE_MODEL, "rb").read()
+ALPHABET = [" ", "  ", "\n", "\t", "a", "the", " of", "é", "ß", "中", "\U0001f389", "▁", "<s>", "<0x41>", "\x00", "ing", "123", "   ", "</s>"]
+
+
+def texts(n, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def test_pieces_equal_the_sentencepiece_library():
+    assert all(pieces.parity(MODEL, texts(800) + ["a" * 500, " " * 70, "x" + " " * 200 + "y", ""]))
+    assert all(pieces.Codec(MODEL, verify=True).encode(texts(300, 4))[1])
+
+
+def _message(*fields):
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+            continue
+        key, body = (number << 3 | 2, value) if isinstance(value, bytes) else (number << 3, None)
+        for v in (key,) + ((len(value),) if body is not None else (value,)):
+            while v > 127:
+                out, v = out + bytes([v & 127 | 128]), v >> 7
+            out += bytes([v])
+        out += body or b""
+    return out
+
+
+@pytest.mark.parametrize("byte_fallback", [0, 1])
+def test_unigram_model_written_by_hand(byte_fallback):
+    scored = [("▁", -2.0), ("a", -3.0), ("b", -3.1), ("ab", -3.5), ("▁ab", -4.0), ("ba", -4.2), ("▁a", -3.7), ("aba", -6.5)]
+    made = [_message((1, b"<unk>"), (2, 0.0), (3, 2)), _message((1, b"<s>"), (2, 0.0), (3, 3)), _message((1, b"</s>"), (2, 0.0), (3, 3))]
+    if byte_fallback:
+        made += [_message((1, f"<0x{i:02X}>".encode()), (2, 0.0), (3, 6)) for i in range(256)]
+    made += [_message((1, p.encode()), (2, s)) for p, s in scored]
+    data = b"".join(_message((1, m)) for m in made) + _message((2, _message((3, 1), (35, byte_fallback)))) + _message((3, _message((1, b"identity"), (4, 0))))
+    rng = random.Random(1)
+    cases = ["".join(rng.choice(["a", "b", " ", "ab"]) for _ in range(rng.randint(1, 12))) for _ in range(200)] + (["a c é"] if byte_fallback else [])
+    assert all(pieces.parity(data, cases))
+
+
+def test_pieces_rows(spark):
+    docs = clashing(awkward(spark))
+    rows = pieces.encoded(docs, verify=True, round_trip=True)
+    assert len(rows.columns) == len(set(rows.columns)) and rows.count() == 11
+    got = {(r.doc_id, r.text): r for r in rows.collect()}
+    assert all(r.parity for r in got.values()) and got[4, None].n_pieces == 0 and got[3, ""].piece_ids == []
+    assert got[8, "éß 中文 \U0001f389 mit license"].lossless
+    back = {r.doc_id: r.decoded for r in pieces.decoded(pieces.encoded(pick(docs, "doc_id", "text"))).collect()}
+    assert back[1] == "Alpha beta gamma delta eps zeta" and back[4] == ""
+    assert pieces.encoded(empty(spark)).count() == 0
+
+
+RANKS = secrets.load_ranks()
+
+
+def brute_force(value, ranks):
+    """Least cost over every way to cut the value."""
+    priced = {}
+    for i, j, cost in secrets.segments(value, ranks):
+        priced[i, j] = min(cost, priced.get((i, j), math.inf))
+    single = [1.0 if c in "-_./" else secrets._alphabet(value) for c in value]
+    least = math.inf
+    for cuts in itertools.product([0, 1], repeat=len(value) - 1):
+        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(value)]
+        total = sum(min(priced.get((a, b), math.inf), single[a] if b - a == 1 else math.inf) for a, b in zip(edges, edges[1:]))
+        least = min(least, total)
+    return least
+
+
+@pytest.mark.parametrize("value", ["password1", "abc123", "qwerty", "19990412x", "aaaa", "P4ssw0rd", "zx9kq", "my-token", "asdfgh12"])
+def test_guess_cost_is_the_cheapest_segmentation(value):
+    assert secrets.guess_digits(value, RANKS) == pytest.approx(brute_force(value, RANKS))
+
+
+def test_guess_cost_orders_values():
+    cost = {v: secrets.guess_digits(v, RANKS) for v in ("changeme", "password123", "2019-05-04", "qwertyuiop", "b7db7aa4a5fcc78305", "")}
+    assert cost["changeme"] < 3 and cost["password123"] < 4 and cost["qwertyuiop"] < 5 and cost["2019-05-04"] < 8
+    assert cost["b7db7aa4a5fcc78305"] > 15 and cost[""] == 0
+
+
+def plain_base(text):
+    """The contract's patterns as they are written."""
+    text, found = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(9)
+    bits = ["password", "Token", "SECRET", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "deadbeef0123", "AKIA", "ABCDEFGH0123", "f" * 24, "é", "x.y-z", "\n", "pwd", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        spans = secrets.find(text, RANKS)
+        assert secrets.joined([s for s in spans if s.kind != "guess"]) == plain_base(text), text
+
+
+def test_added_spans_and_redaction():
+    text = 'pwd => x9$kQ2mZr81 and password=changeme then postgres://u:Zk81mqX0pL2@h/db'
+    spans = secrets.find(text, RANKS)
+    assert [text[s.start:s.end] for s in spans if s.kind == "guess"] == ["x9$kQ2mZr81", "Zk81mqX0pL2"]
+    assert [s.kind for s in spans].count("assign") == 1
+    clean = secrets.redact(text, spans)
+    assert clean == "pwd => [secret] and password=[secret] then postgres://u:[secret]@h/db"
+    assert secrets.redact("nothing here", []) == "nothing here" and secrets.redact(None, []) is None
+
+
+def test_secret_rows(spark):
+    docs = clashing(awkward(spark))
+    rows = docs.select("doc_id", "text", secrets.scan(docs).alias("f")).select("doc_id", "text", "f.*").collect()
+    assert len(rows) == 11
+    for r in rows:
+        assert r.base_sha256 == hashlib.sha256(plain_base(r.text).encode()).hexdigest()
+    assert [r.n_assign for r in rows if r.doc_id is None] == [1]
+    assert secrets.redacted(docs).columns == docs.columns and secrets.redacted(empty(spark)).count() == 0
+
+
+def slow_bits(model, text, i):
+    """One language's code length byte by byte."""
+    data, a, total = b"   " + text.encode(), model.size, 0.0
+    for k in range(3, len(data)):
+        c = [int(model.classes[b]) for b in data[k - 3:k + 1]]
+        total += float(model.bits[model.rows[(c[0] * a + c[1]) * a + c[2]] * a + c[3], i])
+    return total
+
+
+def test_language_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(r.text, r.lang) for r in docs.where("pmod(crc32(cast(doc_id as string)), 4) = 2").collect()]
+    found = langid.classify(model, [t for t, _ in rows])
+    assert sum(a == b for a, (_, b) in zip(found["lang_pred"], rows)) >= 0.97 * len(rows)
+    sums = __import__("numpy").exp2(-model.bits.astype(float)).reshape(-1, model.size, len(model.languages)).sum(axis=1)
+    assert abs(sums - 1).max() < 1e-3  # every context's code lengths are a distribution
+    sample = ["de la", "x", rows[0][0], "ÿ\x00 zz"]
+    bits = langid.code_lengths(model, [t.encode() for t in sample])
+    for t, row in zip(sample, bits):
+        assert row == pytest.approx([slow_bits(model, t, i) for i in range(len(model.languages))], rel=1e-5)
+    odd = langid.classify(model, [None, "", "12 %%", "²³", rows[0][0]])
+    assert odd["lang_pred"].tolist()[:4] == ["und"] * 4 and odd["score"].tolist()[:4] == [0.0] * 4 and not odd["rejected"].iloc[4]
+
+
+def test_languages_never_see_the_held_out_fold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    changed = docs.selectExpr("doc_id", "if(pmod(crc32(cast(doc_id as string)), 4) = 2, 'zz', lang) as lang", "text")
+    assert langid.train(changed).languages == langid.train(docs).languages
+
+
+def test_language_rows(spark):
+    docs = clashing(awkward(spark))
+    model = langid.train(docs)
+    rows = docs.select("doc_id", langid.predict(spark, model, docs.text).alias("p")).select("doc_id", "p.*").collect()
+    assert len(rows) == 11 and [r.lang_pred for r in rows if r.doc_id == 6] == ["und"]
+    none = langid.train(empty(spark))
+    assert none.languages == () and langid.classify(none, ["abc"])["lang_pred"].tolist() == ["und"]
+
+
+def test_long_texts_are_scored_in_windows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    data = [t.encode() for t in ("uno dos tres " * 40, "eins zwei", "three four " * 9)]
+    whole = langid.code_lengths(model, data)
+    monkeypatch.setattr(langid, "_WINDOW", 37)
+    assert langid.code_lengths(model, data) == pytest.approx(whole)
+
+
+MESSY = ["", "\\", "<turn>", "</turn>", "<\\/turn>", "a\\nb\n", "<text>x</turn>\n<turn>assistant<text>", " lead", "trail ", "é中\U0001f389", "<|endoftext|>", "<", "/turn>"]
+
+
+def test_chat_round_trip_and_mask():
+    tok = chat.tokenizer(open(chat.BYTE_BPE).read())
+    rng = random.Random(2)
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "system", "<turn>", ""]), "".join(rng.choice(MESSY) for _ in range(rng.randint(0, 5)))) for _ in range(rng.randint(0, 6))]
+        formatted, spans = chat.render(turns)
+        assert chat.parse(formatted) == turns
+        import numpy as np
+        offsets = np.array(tok.encode(formatted, add_special_tokens=False).offsets, dtype=np.int32).reshape(-1, 2)
+        mask = chat.loss_mask(offsets, spans)
+        assert chat.masked_text(formatted, offsets[:, 0], offsets[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_chat_rows(spark):
+    rows = [(1, 1, "assistant", "second"), (1, 0, "user", None), (1, 1, "assistant", "second"), (None, 0, None, "x"), (2, None, "assistant", ""), (3, 0, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as turns", "1 as n_turns", "'y' as formatted")
+    got = {r.conv_id: r for r in chat.chat_digests(turns).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 12 and got[2].loss_chars == 0 and got[None].n_turns == 1
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nsecond\nassistant\nsecond\n").hexdigest()
+    out = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    assert len(out[1].input_ids) == len(out[1].loss_mask) == len(out[1].starts) and sum(out[3].loss_mask) == 0
+    assert chat.chat_digests(turns.limit(0)).count() == 0
+
+
+def test_license_rows(spark):
+    notice = "permission is hereby granted free of charge to any person who is obtaining a copy of this software and associated documentation files"
+    docs = awkward(spark).union(spark.createDataFrame([(20, f"MIT  LICENSE, apache-license; {notice.upper()}", "en", "a", 1), (21, "general public", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = licenses.license_rows(clashing(docs))
+    rows = got.collect()
+    assert len(rows) == 13
+    by = {r.id: r for r in rows}
+    assert (by[20].n_base, by[20].first_word, by[20].last_word, by[20].base_labels) == (2, 0, 2, "apache,mit") and by[20].score == 1.0
+    assert by[8].base_labels == "mit" and by[8].n_words == 5 and by[4].n_words == 0 and by[21].labels == "" and by[21].score == 0.0
+    assert [r.n_words for r in rows if r.id == 5] == [30_000, 30_000] and sum(r.id is None for r in rows) == 1
+    alone = spark.createDataFrame([(1, notice)], "doc_id long, text string")
+    assert licenses.license_rows(alone).first().labels == "mit" and licenses.license_rows(empty(spark)).count() == 0
