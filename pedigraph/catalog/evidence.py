@@ -12,27 +12,32 @@ TYPES = ["variant", "gene", "perturbation", "mechanism", "cell_state", "cell_phe
          "clinical_outcome", "drug", "biomarker"]
 
 
-def _node(col, k=40):
-    return F.concat(F.lit("n"), (col % k).cast("string"))
+def _node(col):
+    return F.concat(F.lit("n"), col.cast("string"))
 
 
-def _nodes(spark, folder, k=40):
+def _ends():
+    """Groups of ten parts point to suppliers; both are numbered alike, so edges run both ways and in circles."""
+    return F.expr("l_partkey DIV 10"), F.col("l_suppkey")
+
+
+def _nodes(spark, folder):
     li = table(spark, folder, "lineitem")
-    both = li.select((F.col("l_partkey") % k).alias("i")).unionByName(li.select((F.col("l_suppkey") % k).alias("i")))
+    src, dst = _ends()
+    both = li.select(src.alias("i")).unionByName(li.select(dst.alias("i")))
     kinds = F.array(*[F.lit(t) for t in TYPES])
-    log = both.select(_node(F.col("i"), k).alias("name"), F.get(kinds, (F.col("i") % 10).cast("int")).alias("type"),
-                      F.col("i").alias("seq"))
+    log = both.select(_node(F.col("i")).alias("name"), F.get(kinds, (F.col("i") % 10).cast("int")).alias("type"), F.col("i").alias("seq"))
     return gr.fold_nodes(log)
 
 
 def _log(spark, folder):
-    p, s = F.col("l_partkey") % 40, F.col("l_suppkey") % 40
+    p, s = _ends()
     turn = (p + s * 2 + F.least(p, s)) % 3
     sign = F.when(F.col("l_linenumber") % 2 == 1, "unknown").when(turn == 0, "activates").when(turn == 1, "inhibits").otherwise("unknown")
     polarity = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "contradicts").when(
         F.col("l_linestatus") == "F", "supports").otherwise("neutral")
     return table(spark, folder, "lineitem").select(
-        _node(F.col("l_partkey")).alias("src"), _node(F.col("l_suppkey")).alias("dst"), sign.alias("sign"),
+        _node(p).alias("src"), _node(s).alias("dst"), sign.alias("sign"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_linenumber") % 5 + 1).cast("int").alias("tier"),
         polarity.alias("polarity"), (F.col("l_discount") * 61 / 7.3).alias("strength"),
         (F.col("l_tax") > 0.02).alias("is_independent"))
@@ -40,9 +45,7 @@ def _log(spark, folder):
 
 def _edges(spark, folder):
     log = _log(spark, folder)
-    # few contradicting lines per edge are kept apart from support so that strong edges remain
-    backed = log.where((F.col("polarity") != "contradicts") | (F.col("seq") % 7 == 0))
-    return gr.with_support(gr.fold_edges(log), backed)
+    return gr.with_support(gr.fold_edges(log), log)
 
 
 def edge_support(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,43 +75,61 @@ def tier_counts(spark: SparkSession, folder: str) -> DataFrame:
     return gr.tier_counts(_log(spark, folder))
 
 
+def _chains(spark, folder):
+    """Every customer declares three steps along the first and last neighbours; each fifth chain ends elsewhere."""
+    src, dst = _ends()
+    ways = table(spark, folder, "lineitem").groupBy(src.alias("at")).agg(F.min(dst).alias("low"), F.max(dst).alias("high"))
+    chains = table(spark, folder, "customer").select(F.col("c_custkey").alias("hyp"), F.expr("c_custkey DIV 8").alias("v0"))
+    for i, way in enumerate(("if(hyp % 2 = 0, low, high)", "if(hyp % 3 = 0, high, low)", "if(hyp % 5 = 0, v0 + 1, low)")):
+        chains = chains.join(ways, F.col(f"v{i}") == F.col("at")).withColumn(f"v{i + 1}", F.expr(way)).drop("at", "low", "high")
+    return chains.select("hyp", F.array(*[_node(F.col(f"v{i}")) for i in range(4)]).alias("nodes"))
+
+
 def declared_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer declares a three-edge chain; broken chains drop out."""
-    c = F.col("c_custkey")
-    chains = table(spark, folder, "customer").select(
-        c.alias("hyp"), F.array(_node(c), _node(c * 7 + 1), _node(c * 3 + 2), _node(c * 11 + 5)).alias("nodes"))
-    out = gr.declared_chains(chains, _edges(spark, folder), _nodes(spark, folder))
+    out = gr.declared_chains(_chains(spark, folder), _edges(spark, folder), _nodes(spark, folder))
     return out.select("hyp", F.round("weakest", 8).alias("weakest"), F.round("mean_support", 8).alias("mean_support"),
                       F.round("score", 8).alias("score"), "path")
 
 
-def _tree(spark, folder):
+def _net(spark, folder):
+    """Customers point to their number over 3 and over 5; each eleventh also points back up, which makes circles."""
     c = F.col("c_custkey")
-    rows = table(spark, folder, "customer").select(c.alias("src"), F.explode(F.array_distinct(F.array(
-        F.floor(c / 3), F.floor(c / 5)))).alias("dst"), (F.abs("c_acctbal") % 1000 / 1700).alias("support"))
-    return rows.where("src <> dst")
+    customers = table(spark, folder, "customer")
+    ways = F.array(F.floor(c / 3), F.floor(c / 5), F.when(c % 11 == 0, c * 3))
+    rows = customers.select(c.alias("src"), F.explode(F.array_distinct(ways)).alias("dst"), (F.abs("c_acctbal") % 1000 / 1700).alias("support"))
+    known = customers.select(F.col("c_custkey").alias("dst"))
+    return rows.where("src <> dst and (dst = 0 or dst < src)").unionByName(rows.where("dst > src").join(known, "dst", "left_semi").select(*rows.columns)).withColumn(
+        "edge_no", F.col("dst"))
 
 
-def simple_chains(spark: SparkSession, folder: str) -> DataFrame:
-    """All simple paths from each customer to its ancestor two short or long steps up."""
+def _walks(spark, folder):
     c = F.col("c_custkey")
     pairs = table(spark, folder, "customer").select(c.alias("source"), F.floor(c / 15).alias("target"))
     nodes = table(spark, folder, "customer").select(c.alias("name"), F.when(c % 4 == 0, "gene").when(
         c % 4 == 1, "biomarker").otherwise("mechanism").alias("type"))
-    out = gr.simple_chains(_tree(spark, folder), nodes, pairs, max_edges=4)
+    return _net(spark, folder), nodes, pairs
+
+
+def simple_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """All simple paths from each customer to its ancestor two short or long steps up."""
+    out = gr.simple_chains(*_walks(spark, folder))
     return out.select("source", "target", F.concat_ws(">", F.col("nodes").cast("array<string>")).alias("path"),
                       F.round("weakest", 6).alias("weakest"), F.round("score", 6).alias("score"), "n_edges")
 
 
 def best_chains(spark: SparkSession, folder: str) -> DataFrame:
-    c = F.col("c_custkey")
-    pairs = table(spark, folder, "customer").select(c.alias("source"), F.floor(c / 15).alias("target"))
-    nodes = table(spark, folder, "customer").select(c.alias("name"), F.when(c % 4 == 0, "gene").when(
-        c % 4 == 1, "biomarker").otherwise("mechanism").alias("type"))
-    out = gr.best_chain(gr.simple_chains(_tree(spark, folder), nodes, pairs, max_edges=4))
+    out = gr.best_chain(gr.simple_chains(*_walks(spark, folder)))
     return out.select("source", "target", F.round("score", 6).alias("score"), "n_edges")
 
 
+def clinic_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest way of every customer to each biomarker it reaches."""
+    edges, nodes, pairs = _walks(spark, folder)
+    out = gr.chains_to_clinic(edges, nodes, pairs.select("source"))
+    return out.select("source", "target", F.round("weakest", 6).alias("weakest"), F.round("score", 6).alias("score"), "n_edges")
+
+
 def _hyps(spark, folder):
     o = table(spark, folder, "orders")
     k = F.col("o_orderkey")
@@ -185,6 +206,7 @@ QUERIES = {
     "declared_chains": declared_chains,
     "simple_chains": simple_chains,
     "best_chains": best_chains,
+    "clinic_chains": clinic_chains,
     "belief_update": belief_update,
     "prune_hypotheses": prune_hypotheses,
     "park_hypotheses": park_hypotheses,
@@ -194,9 +216,9 @@ QUERIES = {
 }
 
 _LOG = """
-WITH log AS (SELECT 'n' || (l_partkey % 40) AS src, 'n' || (l_suppkey % 40) AS dst,
-  CASE WHEN l_linenumber % 2 = 1 THEN 'unknown' WHEN (l_partkey % 40 + l_suppkey % 40 * 2 + least(l_partkey % 40, l_suppkey % 40)) % 3 = 0 THEN 'activates'
-       WHEN (l_partkey % 40 + l_suppkey % 40 * 2 + least(l_partkey % 40, l_suppkey % 40)) % 3 = 1 THEN 'inhibits' ELSE 'unknown' END AS sign,
+WITH log AS (SELECT 'n' || (l_partkey // 10) AS src, 'n' || l_suppkey AS dst,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'unknown' WHEN (l_partkey // 10 + l_suppkey * 2 + least(l_partkey // 10, l_suppkey)) % 3 = 0 THEN 'activates'
+       WHEN (l_partkey // 10 + l_suppkey * 2 + least(l_partkey // 10, l_suppkey)) % 3 = 1 THEN 'inhibits' ELSE 'unknown' END AS sign,
   l_orderkey * 8 + l_linenumber AS seq, l_linenumber % 5 + 1 AS tier,
   CASE WHEN l_returnflag = 'A' THEN 'supports' WHEN l_returnflag = 'R' THEN 'contradicts' WHEN l_linestatus = 'F' THEN 'supports' ELSE 'neutral' END AS polarity,
   l_discount * 61 / 7.3 AS strength, l_tax > 0.02 AS ind FROM lineitem),
@@ -208,13 +230,13 @@ wt AS (SELECT *, [0.15, 0.35, 0.6, 0.85, 1.0][tier] * greatest(0.0, least(1.0, s
 def _support(source: str) -> str:
     return f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY w DESC) AS r FROM {source}),
-sup AS (SELECT src, dst, coalesce(sum(CASE WHEN w > 0 AND r < 1000 THEN w * pow(0.5, r - 1) ELSE 0 END), 0) + coalesce(sum(CASE WHEN w < 0 THEN w ELSE 0 END), 0) AS support,
+sup AS (SELECT src, dst, coalesce(sum(CASE WHEN w > 0 AND r < 1100 THEN w * pow(0.5, r - 1) ELSE 0 END), 0) + coalesce(sum(CASE WHEN w < 0 THEN w ELSE 0 END), 0) AS support,
   max(CASE WHEN polarity = 'supports' THEN tier END) AS best_tier,
   bool_or(polarity = 'supports') AND bool_or(polarity = 'contradicts') AS contested, count(*) AS n_evidence FROM ranked GROUP BY src, dst)
 """
 
 
-_EDGES = _LOG + ", backed AS (SELECT * FROM wt WHERE polarity <> 'contradicts' OR seq % 7 = 0)," + _support("backed") + """,
+_EDGES = _LOG + "," + _support("wt") + """,
 folded AS (SELECT src, dst, coalesce(max(CASE WHEN sign <> 'unknown' THEN sign END), 'unknown') AS sign FROM log GROUP BY src, dst),
 edges AS (SELECT f.src, f.dst, sign, coalesce(support, 0) AS support, coalesce(contested, false) AS contested
           FROM folded f LEFT JOIN sup s ON s.src = f.src AND s.dst = f.dst)
@@ -238,12 +260,13 @@ scored AS (SELECT *, ln(prior / (1 - prior)) + CASE WHEN chain <= 0 THEN -2.0 EL
 
 _PATHS = """
 WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, d AS dst, abs(c_acctbal) % 1000 / 1700 AS s
-  FROM (SELECT c_custkey, c_acctbal, unnest([c_custkey // 3, c_custkey // 5]) AS d FROM customer) WHERE c_custkey <> d),
+  FROM (SELECT c_custkey, c_acctbal, unnest([c_custkey // 3, c_custkey // 5, CASE WHEN c_custkey % 11 = 0 THEN c_custkey * 3 END]) AS d FROM customer)
+  WHERE c_custkey <> d AND (d = 0 OR d < c_custkey OR d IN (SELECT c_custkey FROM customer))),
 p AS (SELECT c_custkey AS source, c_custkey // 15 AS target, [c_custkey] AS nodes, CAST('infinity' AS DOUBLE) AS w, 0 AS n,
              c_custkey = c_custkey // 15 AS hit FROM customer
   UNION ALL
   SELECT source, target, list_append(nodes, dst), least(w, s), n + 1, dst = target FROM p JOIN e ON src = nodes[len(nodes)]
-  WHERE NOT hit AND n < 4 AND NOT list_contains(nodes, dst)),
+  WHERE NOT hit AND n < 8 AND NOT list_contains(nodes, dst)),
 f AS (SELECT source, target, nodes, CASE WHEN n = 0 THEN 0.0 ELSE w END AS w, n FROM p WHERE hit),
 sc AS (SELECT *, CASE WHEN w <= 0 THEN w ELSE w * (1 + CASE WHEN target % 4 = 1 THEN 0.25 ELSE 0 END + CASE WHEN source % 4 = 0 THEN 0.25 ELSE 0 END) END AS score FROM f)
 """
@@ -255,11 +278,15 @@ ORACLE = {
 WHERE a.sign = 'activates' AND b.sign = 'inhibits' AND a.support > 0.2 AND b.support > 0.2""",
     "weak_edges": _EDGES + "SELECT src, dst, round(support, 8) AS support FROM edges WHERE support < 0.2",
     "node_coverage": f"""SELECT {_TYPES}[i % 10 + 1] AS type, count(*) AS n FROM (
-  SELECT l_partkey % 40 AS i FROM lineitem UNION SELECT l_suppkey % 40 FROM lineitem) GROUP BY 1""",
+  SELECT l_partkey // 10 AS i FROM lineitem UNION SELECT l_suppkey FROM lineitem) GROUP BY 1""",
     "tier_counts": _LOG + "SELECT ['REVIEW', 'ASSOCIATION', 'ANIMAL', 'PERTURBATION', 'HUMAN_GENETICS'][tier] AS tier_name, count(*) AS n FROM log GROUP BY 1",
     "declared_chains": _EDGES + f""",
-ch AS (SELECT c_custkey AS hyp, ['n' || c_custkey % 40, 'n' || (c_custkey * 7 + 1) % 40, 'n' || (c_custkey * 3 + 2) % 40, 'n' || (c_custkey * 11 + 5) % 40] AS v,
-        c_custkey % 40 % 10 AS t0, (c_custkey * 11 + 5) % 40 % 10 AS t1 FROM customer),
+ways AS (SELECT l_partkey // 10 AS a, min(l_suppkey) AS low, max(l_suppkey) AS high FROM lineitem GROUP BY 1),
+s0 AS (SELECT c_custkey AS hyp, c_custkey // 8 AS v0 FROM customer),
+s1 AS (SELECT s0.*, CASE WHEN hyp % 2 = 0 THEN low ELSE high END AS v1 FROM s0 JOIN ways ON a = v0),
+s2 AS (SELECT s1.*, CASE WHEN hyp % 3 = 0 THEN high ELSE low END AS v2 FROM s1 JOIN ways ON a = v1),
+s3 AS (SELECT s2.*, CASE WHEN hyp % 5 = 0 THEN v0 + 1 ELSE low END AS v3 FROM s2 JOIN ways ON a = v2),
+ch AS (SELECT hyp, ['n' || v0, 'n' || v1, 'n' || v2, 'n' || v3] AS v, v0 % 10 AS t0, v3 % 10 AS t1 FROM s3),
 st AS (SELECT hyp, v, t0, t1, unnest([1, 2, 3]) AS i FROM ch),
 j AS (SELECT hyp, v, t0, t1, i, support, CASE sign WHEN 'activates' THEN ' --> ' WHEN 'inhibits' THEN ' --| ' ELSE ' -?- ' END AS a
       FROM st JOIN edges ON src = v[i] AND dst = v[i + 1]),
@@ -270,6 +297,11 @@ SELECT hyp, round(w, 8) AS weakest, round(m, 8) AS mean_support,
     "simple_chains": _PATHS + """SELECT source, target, array_to_string(nodes, '>') AS path, round(w, 6) AS weakest, round(score, 6) AS score, n AS n_edges FROM sc""",
     "best_chains": _PATHS + """SELECT source, target, round(score, 6) AS score, n AS n_edges FROM (
   SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY score DESC, nodes) AS r FROM sc) WHERE r = 1""",
+    "clinic_chains": _PATHS.replace("\nsc AS", """
+ways AS (SELECT c_custkey AS source, c_custkey AS node, CAST('infinity' AS DOUBLE) AS w, 0 AS n FROM customer UNION ALL
+  SELECT source, dst, max(least(w, s)), n + 1 FROM ways JOIN e ON src = node WHERE n < 8 AND dst <> source GROUP BY source, dst, n),
+sc AS""") + """, clinic AS (SELECT source, node AS target, max(w) AS w, arg_min(n, (-w, n)) AS n FROM ways JOIN customer ON c_custkey = node WHERE n > 0 AND node % 4 = 1 GROUP BY ALL)
+SELECT source, target, round(w, 6) AS weakest, round(CASE WHEN w <= 0 THEN w ELSE w * (1.25 + CASE WHEN source % 4 = 0 THEN 0.25 ELSE 0 END) END, 6) AS score, n AS n_edges FROM clinic""",
     "belief_update": _HYPS + """SELECT hyp, round(1 / (1 + exp(-(z + CASE WHEN hyp % 5 = 0 THEN (hyp % 7 - 3) / 5.0 ELSE 0 END))), 8) AS belief,
   n_contradicting, top_tier, n_independent FROM scored""",
     "prune_hypotheses": _HYPS + """, b AS (SELECT *, 1 / (1 + exp(-z)) AS belief FROM scored),
