@@ -68,19 +68,14 @@ def numbers_sql(relation: str = "lineitem") -> str:
     return CALL_NUMBERS.replace("{lineitem}", relation)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when a small input file has fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def call_numbers(spark: SparkSession, folder: str) -> DataFrame:
     used = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
     )
     text = numbers_sql("{lineitem}").replace("//", "DIV")
-    return spark.sql(text, lineitem=spread(used))
+    # the lines of an order stay together, whatever the splits of the file are
+    return spark.sql(text, lineitem=used.repartition("l_orderkey"))
 
 
 def call_lines(numbers: DataFrame) -> DataFrame:

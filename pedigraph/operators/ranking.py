@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from pedigraph.session import small_or_shuffled
 
 
 def global_rank(df: DataFrame, name: str, score: Column, block: str, within: str) -> DataFrame:
@@ -24,5 +23,5 @@ def global_rank(df: DataFrame, name: str, score: Column, block: str, within: str
     shift = cells.join(below, "_k").select(
         "_k", "_b", (F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_shift"))
     rank = F.row_number().over(W.partitionBy("_k", "_b").orderBy(within))
-    numbered = keyed.withColumn("_b", F.col(block)).join(small_or_shuffled(shift), ["_k", "_b"])
+    numbered = keyed.withColumn("_b", F.col(block)).join(shift, ["_k", "_b"])
     return numbered.withColumn(name, rank + F.col("_shift")).drop("_k", "_b", "_shift")

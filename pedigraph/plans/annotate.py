@@ -12,7 +12,7 @@ from pedigraph.functions.numeric import general, py_bool, to_double
 from pedigraph.functions.text import bare_chrom, info_text
 from pedigraph.operators import annotation as ann, ranking, spectrum
 from pedigraph.plans import report, sanity
-from pedigraph.session import durable, exists, small_or_shuffled
+from pedigraph.session import durable, exists
 from pedigraph.sources import fasta, tables
 from pedigraph.sources.vcf import read_vcf
 
@@ -48,12 +48,12 @@ def annotated(records: DataFrame, fields, cfg: dict, genes: DataFrame | None = N
     if validated is None:
         x = x.withColumn("validated", F.lit(False))
     else:
-        side = small_or_shuffled(validated.select(*SITE, F.lit(True).alias("validated")))
+        side = validated.select(*SITE, F.lit(True).alias("validated"))
         x = x.join(side, SITE, "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
     if scores is None:
         x = x.withColumn("phenotype", F.lit(None).cast("double"))
     else:
-        x = x.join(small_or_shuffled(scores.withColumnRenamed("score", "phenotype")), "gene", "left")
+        x = x.join(scores.withColumnRenamed("score", "phenotype"), "gene", "left")
     return ann.prioritise(ann.classify(x, cfg, parentage_confirmed), cfg)
 
 
@@ -122,7 +122,7 @@ def run_annotate(spark: SparkSession, vcf: str, cfg: dict, out_prefix: str, gene
         "ctx", F.lit(None).cast("string"))
     if has_origin:
         site = F.concat_ws(":", F.replace(F.col("chrom"), F.lit("chr"), F.lit("")), F.col("pos").cast("string"))
-        v = v.withColumn("site", site).join(small_or_shuffled(origin), "site", "left")
+        v = v.withColumn("site", site).join(origin, "site", "left")
     else:
         v = v.withColumn("origin", F.lit(None).cast("string"))
     v = durable(v.select("chrom", "pos", "ref", "alt", "track", "vaf", "ctx", "origin"))

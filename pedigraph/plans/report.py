@@ -47,7 +47,7 @@ def _table(head, rows) -> str:
 
 
 def render(result: dict, rows: list[dict]) -> str:
-    """``rows`` are the leading rows of the ranked table (at most REPORT_ROWS)."""
+    """``rows`` are the leading rows of the ranked table; the page says how many of how many it shows."""
     call, checks = result.get("call_summary") or {}, result.get("sanity") or {}
     out = [f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>De novo report</title>"
            f"<style>{STYLE}</style></head><body><h1>De novo report — {esc(call.get('proband', ''))}</h1>",
@@ -84,7 +84,8 @@ def render(result: dict, rows: list[dict]) -> str:
         if fit:
             shares = ", ".join(f"{esc(k)} {esc(percent(v))}" for k, v in fit.get("exposures", {}).items())
             out.append(f"<p>Signature refit (cosine {esc(fit.get('cosine'))}): {shares}</p>")
-    out.append("<h2>Prioritised variants</h2>"
+    shown = f"<p>First {len(rows)} of {result.get('n_annotated', len(rows))}.</p>"
+    out.append("<h2>Prioritised variants</h2>" + shown
                + _table(REPORT_COLUMNS, ([r.get(c, "") for c in REPORT_COLUMNS] for r in rows)))
     out.append("<p>Classes are provisional, from annotation only, and need expert review.</p></body></html>")
     return "".join(out)

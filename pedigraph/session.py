@@ -1,13 +1,11 @@
-"""Session defaults, size-checked broadcasts and durable cut points."""
+"""Session defaults and durable cut points."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-BROADCAST_ROWS = 2_000_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "pedigraph", cores: str = "*") -> SparkSession:
@@ -36,16 +34,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def small_or_shuffled(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a join side for broadcast only when it is counted to be small.
-
-    At most ``max_rows + 1`` rows are counted; a larger side is left to a shuffle
-    join, where adaptive execution splits skewed partitions.
-    """
-    counted = side.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(side) if counted <= max_rows else side
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
