@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pedigraph.session import checkpoint_dir
@@ -40,3 +44,12 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column as lists of about ``size`` bytes, so a batch never stands as Python strings at once."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else []
+    for lo, hi in zip(edges, edges[1:]):
+        yield texts.slice(lo, hi - lo).to_pylist()

@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import pick
+from pedigraph.llm.common import pick, text_slices
 
 DOCS_PER_LANGUAGE = 2000
 MAX_CELLS = 1 << 23
@@ -227,9 +228,11 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct column (lang_pred, score, bits_per_byte, rejected); only the text is read."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, bits_per_byte double, rejected boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return classify(shared.value, texts.tolist())
+    @F.arrow_udf("lang_pred string, score double, bits_per_byte double, rejected boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        found = pd.concat([classify(shared.value, part) for part in text_slices(texts)] or [classify(shared.value, [])])
+        return pa.StructArray.from_arrays([pa.array(found[c], k) for c, k in zip(found.columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))],
+                                          names=list(found.columns))
 
     return run(text)
 

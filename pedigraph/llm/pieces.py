@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import at, pick
+from pedigraph.llm.common import at, pick, text_slices
 
 PIECE_MODEL = os.environ.get("PEDIGRAPH_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
@@ -141,7 +141,7 @@ class Codec:
     once, in threaded batches, and kept in a bounded store.  Other models encode whole texts.
     """
 
-    LONGEST, STORED = 64, 800_000
+    LONGEST, STORED = 64, 300_000
 
     def __init__(self, data: bytes, verify: bool = False):
         import sentencepiece
@@ -211,34 +211,25 @@ def codec(data: bytes, verify: bool = False) -> Codec:
     return Codec(data, verify)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= _CHUNK:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _encode_batches(model, column: int, threads: int, verify: bool, round_trip: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         own = codec(model.value, verify)
         for batch in batches:
-            texts = [t or "" for t in batch.column(column).to_pylist()]
-            for lo, hi in _chunks(texts):
-                ids, agreed = own.encode(texts[lo:hi])
+            lo = 0
+            for part in text_slices(batch.column(column), _CHUNK):
+                texts, hi = [t or "" for t in part], lo + len(part)
+                ids, agreed = own.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
                 made = [pa.array(np.diff(offsets)), lists]
                 if verify:
                     made.append(pa.array(agreed))
                 if round_trip:
-                    made.append(pa.array([a == b for a, b in zip(own.decode(ids), texts[lo:hi])]))
+                    made.append(pa.array([a == b for a, b in zip(own.decode(ids), texts)]))
                 kept = batch.slice(lo, hi - lo)
+                lo = hi
                 yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[f"_{i}" for i in range(batch.num_columns + len(made))])
 
     return run

@@ -18,10 +18,10 @@ import os
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import at, pick
+from pedigraph.llm.common import at, pick, text_slices
 
 WORDS_PATH = os.environ.get("PEDIGRAPH_TOKENIZERS", "/opt/tokenizers") + "/word_bpe_49k.json"
 MIN_DIGITS = 8.0
@@ -198,6 +198,8 @@ def redact(text: str | None, spans: list[Span], mark: str = "[secret]") -> str |
 
 
 _SCHEMA = ("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_digits double")
+_STRUCT = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()),
+                     ("n_guess", pa.int64()), ("max_digits", pa.float64())])
 
 
 def _shared(spark: SparkSession, words_path: str):
@@ -213,17 +215,18 @@ def scan(docs: DataFrame, text_col: str = "text", words_path: str = WORDS_PATH,
     """
     ranks = _shared(docs.sparkSession, words_path)
 
-    @F.pandas_udf(_SCHEMA)
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_SCHEMA)
+    def run(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts:
+        for text in (t for part in text_slices(texts) for t in part):
             spans = find(text, ranks.value, min_digits)
             base = [s for s in spans if s.kind != "guess"]
             kinds = [s.kind for s in spans]
             digits = [s.digits for s in spans if s.digits is not None]
             rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"),
                          hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(digits), max(digits, default=None)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "max_digits"])
+        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "max_digits"]
+        return pa.array([dict(zip(names, row)) for row in rows], _STRUCT)
 
     return run(F.col(text_col))
 
@@ -232,9 +235,10 @@ def redacted(docs: DataFrame, text_col: str = "text", words_path: str = WORDS_PA
     """The rows with the secrets of the text replaced; every row and column stays, null texts stay null."""
     ranks = _shared(docs.sparkSession, words_path)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, find(t, ranks.value, min_digits)) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.chunked_array([pa.array([redact(t, find(t, ranks.value, min_digits)) for t in part], pa.string()) for part in text_slices(texts)],
+                                pa.string()).combine_chunks()
 
     names = docs.columns
     i = at(docs, text_col)

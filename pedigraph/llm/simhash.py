@@ -16,11 +16,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from pedigraph.llm.common import landed, pick
+from pedigraph.llm.common import landed, pick, text_slices
 from pedigraph.llm.components import components
 
 RADIUS = 4
@@ -53,9 +54,9 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
     return int(packed.view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_column(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+@F.arrow_udf(LongType())
+def fingerprint_column(texts: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(t) for part in text_slices(texts) for t in part], pa.int64())
 
 
 def blocks_for(distinct: int, radius: int, tile: int = TILE) -> int:
