@@ -191,7 +191,7 @@ def information_gain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def experiment_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy budgeted plan (iterative, so without a SQL counterpart)."""
+    """Greedy budgeted plan of at most three experiments."""
     plan = bel.plan_experiments(*_experiments(spark, folder), budget=18.0, max_experiments=3)
     return plan["ranked"].where(F.col("exp").isin(*plan["chosen"])).select("exp", F.round("eig", 7).alias("eig"), "cost")
 
@@ -271,7 +271,34 @@ f AS (SELECT source, target, nodes, CASE WHEN n = 0 THEN 0.0 ELSE w END AS w, n
 sc AS (SELECT *, CASE WHEN w <= 0 THEN w ELSE w * (1 + CASE WHEN target % 4 = 1 THEN 0.25 ELSE 0 END + CASE WHEN source % 4 = 0 THEN 0.25 ELSE 0 END) END AS score FROM f)
 """
 
+def _round(i: int) -> str:
+    """One round of the plan in SQL: score with the shares of round i, take the best one that fits, assume its likeliest outcome."""
+    taken = " UNION ALL ".join(f"SELECT exp, cost FROM best{k}" for k in range(i)) or "SELECT 0 AS exp, 0.0 AS cost WHERE false"
+    return f"""
+tested{i} AS (SELECT DISTINCT exp, o.hyp, share FROM o JOIN pr{i} p ON p.hyp = o.hyp),
+p{i} AS (SELECT exp, hyp, share, share / sum(share) OVER (PARTITION BY exp) AS p FROM tested{i}),
+h{i} AS (SELECT exp, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS h FROM p{i} GROUP BY exp),
+j{i} AS (SELECT o.exp, outcome, o.hyp, lik * p AS j FROM o JOIN p{i} p ON p.exp = o.exp AND p.hyp = o.hyp),
+po{i} AS (SELECT exp, outcome, sum(j) AS po FROM j{i} GROUP BY ALL),
+q{i} AS (SELECT j.exp, sum(CASE WHEN j > 0 THEN po * -(j / po) * log2(j / po) ELSE 0 END) AS hq FROM j{i} j JOIN po{i} po ON po.exp = j.exp AND po.outcome = j.outcome WHERE po > 0 GROUP BY j.exp),
+g{i} AS (SELECT h.exp, h.exp % 10 + 1.0 AS cost, greatest(0, h - coalesce(hq, 0)) * (h.exp % 5 / 10.0 + 0.5) AS eig FROM h{i} h LEFT JOIN q{i} q ON q.exp = h.exp),
+taken{i} AS ({taken}),
+best{i} AS (SELECT exp, cost FROM g{i} WHERE exp NOT IN (SELECT exp FROM taken{i}) AND eig > 1e-6 AND cost + (SELECT coalesce(sum(cost), 0) FROM taken{i}) <= 18
+  ORDER BY eig / cost DESC, exp LIMIT 1),
+mine{i} AS (SELECT outcome, o.hyp, lik * share AS j, share FROM o JOIN pr{i} p ON p.hyp = o.hyp WHERE exp = (SELECT exp FROM best{i})),
+won{i} AS (SELECT outcome, sum(j) AS pj FROM mine{i} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+moved{i} AS (SELECT hyp, j / CASE WHEN pj <> 0 THEN pj ELSE 1 END * (SELECT sum(share) FROM (SELECT DISTINCT hyp, share FROM mine{i})) AS share
+  FROM mine{i} m JOIN won{i} w ON w.outcome = m.outcome),
+pr{i + 1} AS (SELECT p.hyp, greatest(coalesce(m.share, p.share), 0) / sum(greatest(coalesce(m.share, p.share), 0)) OVER () AS share
+  FROM pr{i} p LEFT JOIN moved{i} m ON m.hyp = p.hyp)"""
+
+
 ORACLE = {
+    "experiment_plan": """
+WITH o AS (SELECT l_partkey % 200 AS exp, l_returnflag AS outcome, l_suppkey AS hyp, avg(l_discount) * 8 AS lik FROM lineitem GROUP BY ALL),
+s AS (SELECT s_suppkey AS hyp, floor(abs(s_acctbal)) + 1 AS b FROM supplier),
+pr0 AS (SELECT hyp, b / sum(b) OVER () AS share FROM s),""" + ",".join(map(_round, range(3))) + """
+SELECT g.exp, round(eig, 7) AS eig, g.cost::DOUBLE AS cost FROM g0 g WHERE g.exp IN (SELECT exp FROM best0 UNION ALL SELECT exp FROM best1 UNION ALL SELECT exp FROM best2)""",
     "edge_support": _LOG + "," + _support("wt") + "SELECT src, dst, round(support, 8) AS support, best_tier, contested, n_evidence FROM sup",
     "graph_edges": _EDGES + "SELECT src, dst, sign, round(support, 8) AS support, contested FROM edges",
     "contradictions": _EDGES + """SELECT a.src, a.dst, 'bidirectional sign conflict' AS conflict FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src
