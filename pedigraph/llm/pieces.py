@@ -154,6 +154,9 @@ class Codec:
         self.plain = not model.charsmap and not model.squeeze_spaces
         self.starts = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
         self.marks = np.array([not p.strip(MARK) for p, _, _ in model.pieces])
+        self.prefixed = model.dummy_prefix
+        self.bytes = {i: bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
+                      for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER, BYTE)}
         self.other = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
         self.store: dict[str, bytes] = {}
         self.wrong: set[str] = set()
@@ -203,7 +206,16 @@ class Codec:
         return ids, [not self.wrong or self.wrong.isdisjoint(row) for row in parts]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokens.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """The texts of ids: the bytes of their pieces; ids that the table cannot join go to the tokenizers decoder."""
+        made = []
+        for row in ids:
+            row = row.tolist()
+            try:
+                text = b"".join(map(self.bytes.__getitem__, row)).decode()
+                made.append(text.removeprefix(" ") if self.prefixed else text)
+            except (KeyError, UnicodeDecodeError):
+                made.append(self.tokens.decode(row, skip_special_tokens=False))
+        return made
 
 
 @functools.lru_cache(maxsize=2)

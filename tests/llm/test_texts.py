@@ -223,3 +223,11 @@ def test_license_rows(spark):
     assert [r.n_words for r in rows if r.id == 5] == [30_000, 30_000] and sum(r.id is None for r in rows) == 1
     alone = spark.createDataFrame([(1, notice)], "doc_id long, text string")
     assert licenses.license_rows(alone).first().labels == "mit" and licenses.license_rows(empty(spark)).count() == 0
+
+
+def test_decoding_equals_the_tokenizers_decoder():
+    rng = random.Random(8)
+    codec = pieces.Codec(MODEL)
+    rows = [[rng.randrange(len(codec.starts)) for _ in range(rng.randint(0, 12))] for _ in range(500)]  # loose bytes and control pieces too
+    import numpy as np
+    assert codec.decode([np.array(r, dtype=np.int32) for r in rows]) == [codec.tokens.decode(r, skip_special_tokens=False) for r in rows]
