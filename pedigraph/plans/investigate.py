@@ -90,7 +90,14 @@ def artifact(folder: str, agent: str) -> dict:
 
 
 def _seq(agent: str, place: Column, step: Column | int = 0) -> Column:
-    return (F.lit(ORDER[agent] * 1_000_000_000) + place * 10_000 + step).cast("bigint")
+    """The order of additions: agent, place in its payload, step inside the item."""
+    step = step if isinstance(step, Column) else F.lit(step)
+    return F.struct(F.lit(ORDER[agent]).alias("agent"), place.cast("bigint").alias("place"), step.cast("bigint").alias("step"))
+
+
+def _end(side: int) -> Column:
+    """The two ends of an edge are added one after the other."""
+    return F.struct("seq.agent", "seq.place", "seq.step", F.lit(side).alias("side"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -138,9 +145,9 @@ def edge_log(spark: SparkSession, folder: str) -> DataFrame:
 def node_log(spark: SparkSession, folder: str, edges: DataFrame) -> DataFrame:
     cells = payload(spark, folder, "cell_state").select("name", F.lit("cell_state").alias("type"), _seq("cell_state", F.col("i")).alias("seq"))
     ends = edges.select(F.inline(F.array(
-        F.struct(F.col("src").alias("name"), F.col("src_type").alias("type"), (F.col("seq") * 2).alias("seq")),
-        F.struct(F.col("dst").alias("name"), F.col("dst_type").alias("type"), (F.col("seq") * 2 + 1).alias("seq")))))
-    return cells.withColumn("seq", F.col("seq") * 2).unionByName(ends)
+        F.struct(F.col("src").alias("name"), F.col("src_type").alias("type"), _end(0).alias("seq")),
+        F.struct(F.col("dst").alias("name"), F.col("dst_type").alias("type"), _end(1).alias("seq")))))
+    return cells.withColumn("seq", _end(0)).unionByName(ends)
 
 
 def hypotheses(spark: SparkSession, folder: str) -> DataFrame:

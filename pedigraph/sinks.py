@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from pathlib import Path
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
@@ -28,12 +29,13 @@ def write_lines(lines: DataFrame, path: str, header: list[str]) -> None:
     The rows go out as a folder of parts (no task or driver holds them all); the
     parts are then streamed into one file a few megabytes at a time.
     """
-    parts = f"{path}.parts"
-    lines.select("value").write.mode("overwrite").text(parts)
-    store, target = (pafs.FileSystem.from_uri(path) if "://" in path
-                     else (pafs.LocalFileSystem(), os.path.abspath(path)))
+    # a path without a scheme is a file of this machine, for Spark's writer as for the reader below
+    uri = path if "://" in path else Path(path).absolute().as_uri()
+    store, target = pafs.FileSystem.from_uri(uri)
+    lines.select("value").write.mode("overwrite").text(f"{uri}.parts")
     folder = pafs.FileSelector(target + ".parts", recursive=False)
-    names = sorted(i.path for i in store.get_file_info(folder) if os.path.basename(i.path).startswith("part-"))
+    found = [i.path for i in store.get_file_info(folder) if os.path.basename(i.path).startswith("part-")]
+    names = sorted(found, key=lambda p: int(os.path.basename(p).split("-")[1]))
     with store.open_output_stream(target) as out:
         for line in header:
             out.write((line + "\n").encode())
