@@ -97,6 +97,9 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, c
         score = score / (q_norms[i] * norms[r])
         order = np.lexsort((ids[r], -score, i))
         i, r, score = i[order], r[order], score[order]
+        fresh = np.ones(len(i), dtype=bool)  # parallel vectors of one id have one score and take one place
+        fresh[1:] = (i[1:] != i[:-1]) | (ids[r[1:]] != ids[r[:-1]]) | (score[1:] != score[:-1])
+        i, r, score = i[fresh], r[fresh], score[fresh]
         first = np.searchsorted(i, i, side="left")
         keep = np.arange(len(i)) - first < top
         found.append(pd.DataFrame({"query_id": query_ids[i[keep]], "vec_id": ids[r[keep]], "score": score[keep]}))
@@ -108,8 +111,8 @@ def _search(rows: DataFrame, queries: DataFrame, codes: dict[int, Codes], top: i
     count, asked = rows.count(), queries.count()
     blocks, chunks = max(1, -(-count // BLOCK)), max(1, -(-asked // CHUNK))
     many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select("id", "vector", "dim", F.expr(f"cast(pmod(xxhash64(id, 1), {blocks}) as int)").alias("block"), many(chunks).alias("chunk"), F.lit(False).alias("asks"))
-    asks = queries.select("id", "vector", "dim", many(blocks).alias("block"), F.expr(f"cast(pmod(xxhash64(id, 2), {chunks}) as int)").alias("chunk"), F.lit(True).alias("asks"))
+    held = rows.select("id", "vector", "dim", F.expr(f"cast(pmod(xxhash64(id, vector, 1), {blocks}) as int)").alias("block"), many(chunks).alias("chunk"), F.lit(False).alias("asks"))
+    asks = queries.select("id", "vector", "dim", many(blocks).alias("block"), F.expr(f"cast(pmod(xxhash64(id, vector, 2), {chunks}) as int)").alias("chunk"), F.lit(True).alias("asks"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": part["id"].iloc[:0], "vec_id": part["id"].iloc[:0], "score": np.empty(0)})
@@ -139,9 +142,10 @@ def nearest(rows: DataFrame, is_query: str, id_col: str = "vec_id", vector_col:
     are fewer.  An empty table gives an empty result.
     """
     taken = pick(rows, id_col, vector_col).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    held = landed(taken.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector")), "indexed")
+    once = taken.where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
+    held = landed(once.withColumn("dim", F.size("vector")), "indexed")
     sizes = dict(held.groupBy("dim").agg(F.count(F.lit(1))).collect())  # one row per vector length
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("codes")), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64("id", "vector", F.lit("codes")), 11) / F.lit(float(1 << 53))
     rate = F.lit(0.0)
     for dim, n in sorted(sizes.items()):
         rate = F.when(F.col("dim") == dim, F.lit(sample / n)).otherwise(rate)

@@ -218,6 +218,18 @@ def test_nearest_rows(spark):
     assert hashing.nearest(frame.limit(0), "id % 50 = 0").count() == 0
 
 
+def test_repeated_neighbours_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    other = [(i, (base + 0.3 * rng.normal(size=8)).tolist()) for i in range(2, 9)]
+    near = (base + 0.01).tolist()
+    rows = [(0, base.tolist()), *[(1, near)] * 6, *[(1, [2.0 ** k * v for v in near]) for k in range(1, 6)], *other]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hashing.nearest(frame, "id = 0").orderBy("rank").collect()
+    cosine = {i: float(unit(np.array([v]))[0] @ unit(np.array([base]))[0]) for i, v in [(1, near), *other]}
+    assert [r.vec_id for r in got] == sorted(cosine, key=lambda i: -cosine[i])[:5]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
