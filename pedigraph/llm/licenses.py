@@ -5,7 +5,8 @@ pairs of the templates.  A match votes for its diagonal, the word number minus t
 in the template; votes are kept as a bit mask of template places, so nothing votes twice.
 Base phrases need every vote on one diagonal.  For the longer notices neighbouring
 diagonals (words put in or left out) are merged and the span is verified: enough of the
-template's places, within a span not much longer than the template.
+template's places, within a span not much longer than the template.  Longer runs, such as
+repeats of a short notice, are verified stretch by stretch.
 """
 
 from __future__ import annotations
@@ -91,18 +92,30 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
 
 
 def spans(votes: DataFrame) -> DataFrame:
-    """Verified spans and the rows themselves (template -1): label, start and end word, coverage."""
+    """Verified spans and the rows themselves (template -1): label, start and end word, coverage.
+
+    A run of neighbouring diagonals too long for its template (repeats of a short notice) gives
+    its best stretch of 2 * GAP diagonals, which is never too long.
+    """
     line = Window.partitionBy("id", "th", "template").orderBy("diagonal")
     near = votes.withColumn("before", F.lag("diagonal").over(line)).withColumn(
         "run", F.sum(F.when(F.col("diagonal") - F.col("before") <= F.when(F.col("is_base"), F.lit(0)).otherwise(F.lit(GAP)), 0).otherwise(1)).over(line))
-    merged = near.groupBy("id", "th", "template", "run").agg(
+    within = Window.partitionBy("id", "th", "template", "run").orderBy("diagonal").rangeBetween(0, 2 * GAP)
+    tight = near.withColumn("tight", F.struct(
+        (F.bit_count(F.bit_or("mask").over(within)) / F.col("places")).alias("coverage"),
+        (1 - F.min("low").over(within)).alias("back"), (F.max("high").over(within) + 1).alias("end")))
+    merged = tight.groupBy("id", "th", "template", "run").agg(
         F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
         F.first("places").alias("places"), F.first("length").alias("length"), F.expr("bit_or(mask)").alias("mask"),
-        (F.min("low") - 1).alias("start"), (F.max("high") + 1).alias("end"))
+        (F.min("low") - 1).alias("start"), (F.max("high") + 1).alias("end"), F.max("tight").alias("tight"))
     coverage = F.bit_count("mask") / F.col("places")
     fits = F.when(F.col("is_base"), coverage == 1.0).otherwise(
         (coverage >= COVERAGE) & (F.col("end") - F.col("start") <= F.col("length") + 2 * GAP))
-    return merged.withColumn("coverage", coverage).where((F.col("template") == -1) | fits)
+    best = ~F.col("is_base") & (F.col("tight.coverage") >= COVERAGE)
+    found = merged.withColumn("coverage", coverage).withColumn("whole", (F.col("template") == -1) | fits).where(F.col("whole") | best)
+    part = lambda name, own: F.when(F.col("whole"), F.col(name)).otherwise(own).alias(name)
+    return found.select("id", "th", "template", "run", "n_words", "copies", "label", "is_base", "places", "length", "mask",
+                        part("start", -F.col("tight.back")), part("end", F.col("tight.end")), part("coverage", F.col("tight.coverage")))
 
 
 def license_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, notices=NOTICES) -> DataFrame:

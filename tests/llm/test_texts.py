@@ -227,6 +227,12 @@ def test_license_rows(spark):
     assert licenses.license_rows(alone).first().labels == "mit" and licenses.license_rows(empty(spark)).count() == 0
 
 
+def test_repeats_of_a_short_notice_are_found(spark):
+    rows = [(n, "x " + "All rights reserved. " * n + "y") for n in (1, 3, 4, 40)] + [(0, "all rights all rights all rights all rights")]
+    got = licenses.license_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: (r.labels, r.score) for r in got} == {0: ("", 0.0), **{n: ("reserved", 1.0) for n in (1, 3, 4, 40)}}
+
+
 def test_decoding_equals_the_tokenizers_decoder():
     rng = random.Random(8)
     codec = pieces.Codec(MODEL)
