@@ -230,6 +230,29 @@ def test_repeated_neighbours_take_one_place(spark):
     assert [r.vec_id for r in got] == sorted(cosine, key=lambda i: -cosine[i])[:5]
 
 
+def test_near_copy_stage_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["", "one two"]
+    for size in (12, 30, 60, 200, 900):
+        base = rng.choices(words, k=size)
+        for edits in (0, 1, 1, 1, 2, 2, 3, 5, 9):
+            base = base if edits < 3 else base[:]
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(size)] = rng.choice(words)
+            base = copy if rng.random() < 0.4 else base  # chains of copies
+            texts.append(" ".join(copy))
+    line = rng.choices(words, k=12)
+    texts += [" ".join(line + rng.choices(words, k=n)) for n in (0, 1, 2, 3, 4, 20) for _ in range(6)]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    roots = slow_roots(range(len(texts)), links)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(roots.values())) and len(kept) < len(texts) - 20
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
