@@ -1,6 +1,6 @@
 """Registered queries of the pipeline operators and their SQL."""
 
-from pedigraph.llm import licenses, mixing, negatives, repair
+from pedigraph.llm import licenses, mixing, negatives, outliers, repair
 from pedigraph.llm.chat import op5_chat_format
 from pedigraph.llm.hashing import op7_multi_index
 from pedigraph.llm.langid import op3_ppm_language
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_sampled_splitters": op10_sampled_splitters,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_quality_outliers": outliers.op13_quality_outliers,
 }
 
 ORACLE = {
@@ -30,4 +31,5 @@ ORACLE = {
     "op9_license_diagonals": licenses.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
     "op12_conversation_repair": repair.ORACLE,
+    "op13_quality_outliers": outliers.ORACLE,
 }
