@@ -33,8 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 WIDER = re.compile(r"""(?i:pwd|passphrase|passcode|credentials?|private_?key|access_?key|client_?secret|auth_?token|bearer)"""
-                   r"""["']?\x20*(?:=>|:=|[:=]|\x20)\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]+)""", re.ASCII)
-ADDRESS = re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{3,})@")
+                   r"""["']?(?:\x20*+(?:=>|:=|[:=])\x20*+|\x20++)["']?([A-Za-z0-9+/_.=!@#$%^&*-]+)""", re.ASCII)
+ADDRESS = re.compile(r"://[^\s:/@]++:([^\s:/@]{3,}+)@")
 # Every match of a pattern holds one of these lowered strings: a cheap test before the pattern runs.
 _ASSIGN_CUES = ("passw", "secret", "token", "api")
 _WIDER_CUES = ("pwd", "passphrase", "passcode", "credential", "key", "client", "auth", "bearer", "://")
@@ -54,8 +54,8 @@ _LEET = str.maketrans("@4301$57!", "aaeoisstl")
 _DATE = re.compile(r"(?=((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|"
                    r"(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d))")
 _YEAR = re.compile(r"(?=((?:19|20)\d\d))")
-_REPEAT = re.compile(r"(.{1,16}?)\1+", re.DOTALL)
-_LONGEST_WORD = 24
+UNIT = 16  # characters of a repeated unit, at most
+_TURN = 0.66
 _PART = math.log10(2)
 
 
@@ -102,59 +102,110 @@ def _word_cost(piece: str, ranks: dict[str, int]) -> float | None:
     return math.log10(rank) + extra + _PART
 
 
-def _runs(value: str) -> list[tuple[int, int, float]]:
-    """Maximal keyboard walks and alphabetic or numeric sequences of three or more characters, with all their ends."""
-    lower, found = value.lower(), []
-    for kind in ("keys", "steps"):
-        start, turns, last = 0, 0, None
-        for i in range(1, len(lower) + 1):
-            move = None
-            if i < len(lower):
-                a, b = lower[i - 1], lower[i]
-                if kind == "keys" and b in _NEAR.get(a, ()):
-                    move = ord(b) - ord(a) if a.isdigit() else (a, b) if last is None else last
-                elif kind == "steps" and a.isalnum() and b.isalnum() and abs(ord(b) - ord(a)) == 1 and last in (None, ord(b) - ord(a)):
-                    move = ord(b) - ord(a)
-            if move is None:
-                if i - start >= 3:
-                    cost = math.log10(47 * (i - start)) + 0.66 * turns if kind == "keys" else math.log10(26 * (i - start))
-                    found.append((start, i, cost + _PART))
-                start, turns, last = i, 0, None
-            else:
-                turns += last is not None and move != last
-                last = move
-    return found
-
-
-def segments(value: str, ranks: dict[str, int]) -> list[tuple[int, int, float]]:
-    """Every priced span of the value but single brute-force characters: (start, end, digits)."""
-    found = _runs(value)
-    for pattern, cost in ((_DATE, math.log10(365 * 120 * 4)), (_YEAR, math.log10(120))):
-        found += [(m.start(1), m.end(1), cost + _PART) for m in pattern.finditer(value)]
-    brute = _alphabet(value)
-    for m in _REPEAT.finditer(value):
-        unit = m.group(1)
-        base = min(len(unit) * brute, _word_cost(unit, ranks) or math.inf)
-        found.append((m.start(), m.end(), base + math.log10((m.end() - m.start()) // len(unit)) + _PART))
-    for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + _LONGEST_WORD) + 1):
-            cost = _word_cost(value[i:j], ranks)
-            if cost is not None:
-                found.append((i, j, cost))
-    return found
+class _Least:
+    """The least of f(i) + log10(j - i) over the starts i added so far.
+
+    A start that an earlier one has caught up with never leads again, as the logarithms
+    only come closer; so the list stays short.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+
+    def add(self, i: int, f: float) -> None:
+        self.starts.append((i, f))
+
+    def at(self, j: int) -> float:
+        least, kept = math.inf, []
+        for i, f in self.starts:
+            now = f + math.log10(j - i)
+            if now < least:
+                least = now
+                kept.append((i, f))
+        self.starts = kept
+        return least
+
+
+class _Walks:
+    """Cheapest ends of keyboard walks or sequences of three or more characters: one list for the walk that is open."""
+
+    def __init__(self, kind: str, value: str):
+        self.kind, self.value = kind, value.lower()
+        self.price = math.log10(47 if kind == "keys" else 26) + _PART
+        self.begin, self.last, self.turns, self.open = 0, None, [0, 0], _Least()
+
+    def _move(self, a: str, b: str) -> object:
+        if self.kind == "keys":
+            return None if b not in _NEAR.get(a, ()) else ord(b) - ord(a) if a.isdigit() else "letters"
+        return ord(b) - ord(a) if a.isalnum() and b.isalnum() and abs(ord(b) - ord(a)) == 1 else None
+
+    def at(self, j: int, best: list[float]) -> float:
+        """With the character before j: walks may begin at j - 3 or earlier."""
+        if j < 2:
+            return math.inf
+        move = self._move(self.value[j - 2], self.value[j - 1])
+        turned = self.last is not None and move is not None and move != self.last
+        if move is None or self.kind == "steps" and turned:
+            self.begin, self.open = j - 1 if move is None else j - 2, _Least()
+        self.turns.append(self.turns[-1] + turned)
+        self.last = move
+        if j - self.begin < 3:
+            return math.inf
+        self.open.add(j - 3, best[j - 3] - _TURN * self.turns[j - 1])
+        return self.open.at(j) + _TURN * self.turns[j] + self.price
+
+
+class _Repeats:
+    """Cheapest ends of a unit of one length that stands twice or more; one list for each of its rotations."""
+
+    def __init__(self, size: int, value: str, brute: float, ranks: dict[str, int]):
+        self.size, self.value, self.brute, self.ranks = size, value, brute, ranks
+        self.alike, self.lists = 0, {}
+
+    def at(self, j: int, best: list[float]) -> float:
+        size = self.size
+        if j <= size or self.value[j - 1] != self.value[j - 1 - size]:
+            self.alike = 0
+            if self.lists:
+                self.lists = {}
+            return math.inf
+        self.alike += 1
+        if self.alike < size:
+            return math.inf
+        if j % size not in self.lists:
+            unit = self.value[j - size:j]
+            word = _word_cost(unit, self.ranks)
+            self.lists[j % size] = (_Least(), min(size * self.brute, math.inf if word is None else word) - math.log10(size) + _PART)
+        held, price = self.lists[j % size]
+        held.add(j - 2 * size, best[j - 2 * size])
+        return held.at(j) + price
 
 
 def guess_digits(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value.
+    """log10 of the guesses of the cheapest of all segmentations; 0 for an empty value.
 
-    A brute-force character costs the alphabet the value draws on, a separator ten choices.
+    A span is a word of the list, a date, a year, a walk or sequence of three characters or more, or
+    a unit of at most ``UNIT`` characters that stands twice or more, each with any start and end.
+    A brute-force character costs the alphabet the value draws on, a separator ten choices.  The
+    work grows with the length of the value.
     """
     brute, ending = _alphabet(value), {}
-    for i, j, cost in segments(value, ranks):
-        ending.setdefault(j, []).append((i, cost))
+    for pattern, cost in ((_DATE, math.log10(365 * 120 * 4)), (_YEAR, math.log10(120))):
+        for m in pattern.finditer(value):
+            ending.setdefault(m.end(1), []).append((m.start(1), cost + _PART))
+    parts = [_Walks("keys", value), _Walks("steps", value), *(_Repeats(size, value, brute, ranks) for size in range(1, min(UNIT, len(value) // 2) + 1))]
+    longest = max(map(len, ranks), default=0)
     best = [0.0]
     for j in range(1, len(value) + 1):
-        best.append(min([best[j - 1] + (1.0 if value[j - 1] in "-_./" else brute), *(best[i] + cost for i, cost in ending.get(j, ()))]))
+        least = min(best[j - 1] + (1.0 if value[j - 1] in "-_./" else brute), *(part.at(j, best) for part in parts), math.inf)
+        for i, cost in ending.get(j, ()):
+            least = min(least, best[i] + cost)
+        for i in range(max(0, j - longest), j):
+            if best[i] < least:
+                cost = _word_cost(value[i:j], ranks)
+                if cost is not None:
+                    least = min(least, best[i] + cost)
+        best.append(least)
     return best[-1]
 
 

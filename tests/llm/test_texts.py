@@ -71,23 +71,60 @@ def test_pieces_rows(spark):
 RANKS = secrets.load_ranks()
 
 
-def brute_force(value, ranks):
-    """Least cost over every way to cut the value."""
-    priced = {}
-    for i, j, cost in secrets.segments(value, ranks):
-        priced[i, j] = min(cost, priced.get((i, j), math.inf))
-    single = [1.0 if c in "-_./" else secrets._alphabet(value) for c in value]
-    least = math.inf
-    for cuts in itertools.product([0, 1], repeat=len(value) - 1):
-        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(value)]
-        total = sum(min(priced.get((a, b), math.inf), single[a] if b - a == 1 else math.inf) for a, b in zip(edges, edges[1:]))
-        least = min(least, total)
-    return least
+def priced(piece, whole):
+    """The least price of one span, by looking at it alone."""
+    costs, lower, part = [], piece.lower(), math.log10(2)
+    word = secrets._word_cost(piece, RANKS)
+    if word is not None:
+        costs.append(word)
+    if re.fullmatch(r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01])|(0?[1-9]|[12]\d|3[01])[-/.]?(0?[1-9]|1[0-2])[-/.]?(19|20)\d\d", piece):
+        costs.append(math.log10(365 * 120 * 4) + part)
+    if re.fullmatch(r"(19|20)\d\d", piece):
+        costs.append(math.log10(120) + part)
+    steps = list(zip(lower, lower[1:]))
+    if len(piece) >= 3 and all(b in secrets._NEAR.get(a, ()) for a, b in steps):
+        moves = [ord(b) - ord(a) if a.isdigit() else "letters" for a, b in steps]
+        costs.append(math.log10(47 * len(piece)) + 0.66 * sum(x != y for x, y in zip(moves, moves[1:])) + part)
+    gaps = {ord(b) - ord(a) for a, b in steps}
+    if len(piece) >= 3 and lower.isalnum() and gaps in ({1}, {-1}):
+        costs.append(math.log10(26 * len(piece)) + part)
+    for size in range(1, min(16, len(piece) // 2) + 1):
+        if len(piece) % size == 0 and piece == piece[:size] * (len(piece) // size):
+            costs += [math.log10(len(piece) // size) + part + min(size * secrets._alphabet(whole), *[secrets._word_cost(u, RANKS) or math.inf for u in [piece[:size]]])]
+    if len(piece) == 1:
+        costs.append(1.0 if piece in "-_./" else secrets._alphabet(whole))
+    return min(costs, default=math.inf)
+
+
+def brute_force(value):
+    least = [0.0]
+    for j in range(1, len(value) + 1):
+        least.append(min(least[i] + priced(value[i:j], value) for i in range(j)))
+    return least[-1]
 
 
 @pytest.mark.parametrize("value", ["password1", "abc123", "qwerty", "19990412x", "aaaa", "P4ssw0rd", "zx9kq", "my-token", "asdfgh12"])
 def test_guess_cost_is_the_cheapest_segmentation(value):
-    assert secrets.guess_digits(value, RANKS) == pytest.approx(brute_force(value, RANKS))
+    assert secrets.guess_digits(value, RANKS) == pytest.approx(brute_force(value))
+
+
+def test_guess_cost_over_all_spans():
+    rng = random.Random(21)
+    bits = ["qwert", "asdf", "12345", "4321", "abcd", "password", "dragon", "2019", "1999-04-12", "xyxyxy", "aaaa", "zz", "k9", "-", "P@ss", "love", "7", "fghj", "1q2w3e", "aqaqaqa"]
+    for _ in range(250):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))[:26]
+        assert secrets.guess_digits(value, RANKS) == pytest.approx(brute_force(value)), value
+
+
+def test_very_long_texts_are_scanned_in_linear_time():
+    import time
+
+    for text in ("bearer" + " " * 1_000_000 + "x", "://" + "a" * 500_000, "token" * 100_000, "password" + " " * 500_000, "key = " + "ab" * 20_000, "pwd:" + "asasqw12" * 3_000):
+        began = time.perf_counter()
+        secrets.find(text, RANKS)
+        assert time.perf_counter() - began < 20, text[:20]
+    began = time.perf_counter()
+    assert secrets.find("bearer" + " " * 1_000_000, RANKS) == [] and time.perf_counter() - began < 1
 
 
 def test_guess_cost_orders_values():
