@@ -119,8 +119,9 @@ def simple_chains(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_chains(spark: SparkSession, folder: str) -> DataFrame:
-    out = gr.best_chain(gr.simple_chains(*_walks(spark, folder)))
-    return out.select("source", "target", F.round("score", 6).alias("score"), "n_edges")
+    """The best chain of each pair with its path; of equal ones the first found."""
+    out = gr.best_chains(*_walks(spark, folder))
+    return out.select("source", "target", F.concat_ws(">", F.col("nodes").cast("array<string>")).alias("path"), F.round("score", 6).alias("score"), "n_edges")
 
 
 def clinic_chains(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,7 +323,7 @@ SELECT hyp, round(w, 8) AS weakest, round(m, 8) AS mean_support,
   round(CASE WHEN w <= 0 THEN w ELSE w * (1 + CASE WHEN t1 IN (6, 7, 9) THEN 0.25 ELSE 0 END + CASE WHEN t0 IN (0, 1) THEN 0.25 ELSE 0 END) END, 8) AS score,
   p || v[4] AS path FROM g WHERE n = 3""",
     "simple_chains": _PATHS + """SELECT source, target, array_to_string(nodes, '>') AS path, round(w, 6) AS weakest, round(score, 6) AS score, n AS n_edges FROM sc""",
-    "best_chains": _PATHS + """SELECT source, target, round(score, 6) AS score, n AS n_edges FROM (
+    "best_chains": _PATHS + """SELECT source, target, array_to_string(nodes, '>') AS path, round(score, 6) AS score, n AS n_edges FROM (
   SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY score DESC, nodes) AS r FROM sc) WHERE r = 1""",
     "clinic_chains": _PATHS.replace("\nsc AS", """
 ways AS (SELECT c_custkey AS source, c_custkey AS node, CAST('infinity' AS DOUBLE) AS w, 0 AS n FROM customer UNION ALL

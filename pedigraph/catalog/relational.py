@@ -48,7 +48,7 @@ def segment_first_match(spark: SparkSession, folder: str) -> DataFrame:
         F.col("s_suppkey").alias("seg"), F.round("s_acctbal", 2).alias("cn"))
     c = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("axis"), (F.col("c_custkey") * 37 % 10000).alias("at"))
-    return first_containing(c, s, ["axis"], "at", "start", "end", "seg_no", ["seg", "cn"], width=1024)
+    return first_containing(c, s, ["axis"], "at", "start", "end", "seg_no", ["seg", "cn"])
 
 
 def cluster_flags(spark: SparkSession, folder: str) -> DataFrame:

@@ -97,3 +97,36 @@ def likely_pathogenic_text(text: Column) -> Column:
 def first_of(*columns: Column) -> Column:
     """First non-empty text, else the empty string."""
     return F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(""))
+
+
+_JSON_PIECES = r'(?s)\\.|["{}]|[^"{}\\]+|\\$'
+
+
+def balanced_object(text: Column) -> Column:
+    """The first ``{`` of a text up to the ``}`` that closes it, strings and escapes minded; NULL when none closes.
+
+    A fold over the pieces of the text: escapes, quotes, braces and what stands between them.
+    """
+    opened = F.locate("{", text)
+    rest = F.substring(text, opened, 1 << 30)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("taken"), F.lit(False).alias("closed"))
+
+    def step(state: Column, piece: Column) -> Column:
+        plain = ~state["quoted"]
+        depth = state["depth"] + F.when(plain & (piece == "{"), 1).when(plain & (piece == "}"), -1).otherwise(0)
+        return F.when(state["closed"], state).otherwise(F.struct(
+            depth.alias("depth"), (state["quoted"] != (piece == '"')).alias("quoted"), (state["taken"] + F.length(piece)).alias("taken"),
+            (plain & (piece == "}") & (depth == 0)).alias("closed")))
+
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PIECES), 0), start, step)
+    return F.when(opened > 0, F.when(end["closed"], F.substring(rest, F.lit(1), end["taken"])))
+
+
+def json_text(text: Column) -> Column:
+    """The JSON object a text holds: all of it if it is one, else the one in its code fence, else the first; NULL without one."""
+    whole = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+    first = balanced_object(whole)
+    fence = F.regexp_instr(whole, F.lit(r"```(?:json)?\s*\{"))
+    fenced = F.when(fence > 0, balanced_object(F.substring(whole, fence + 3, 1 << 30)))
+    valid = lambda found: F.when(F.try_parse_json(found).isNotNull(), found)
+    return F.coalesce(F.when(first == whole, valid(first)), valid(F.coalesce(fenced, first)))

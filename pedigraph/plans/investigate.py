@@ -206,7 +206,7 @@ def scored(hyps: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     base = hyps.drop("chain_score", "weakest", "path", "chain_nodes")
     declared = gr.declared_chains(base.where(F.col("nodes").isNotNull()).select("hyp", "nodes"), edges, nodes)
     ends = base.where(F.col("source").isNotNull() & F.col("target").isNotNull())
-    paths = gr.best_chain(gr.simple_chains(edges, nodes, ends.select("source", "target").distinct()))
+    paths = gr.best_chains(edges, nodes, ends.select("source", "target").distinct())
     between = ends.join(paths.drop("mean_support", "n_edges").withColumnRenamed("nodes", "found"), ["source", "target"]).select(
         "hyp", F.col("score").alias("_s"), F.col("weakest").alias("_w"), "found")
     return base.join(declared.select("hyp", "score", F.col("weakest").alias("_dw"), "path"), "hyp", "left").join(between, "hyp", "left").select(

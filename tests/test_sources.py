@@ -1,10 +1,12 @@
 """Block-gzip lines and interval operators against plain Python."""
 
+import gzip
 import random
 import struct
 import zlib
 
-from pedigraph.operators.intervals import first_containing, merge_intervals
+from pedigraph.operators.intervals import dyadic_nodes, first_containing, merge_intervals, with_masks
+from pedigraph.sinks import write_lines
 from pedigraph.sources.text import read_lines
 
 
@@ -25,6 +27,22 @@ def test_block_gzip_lines_split_anywhere(spark, tmp_path):
     assert [r.value for r in got.orderBy("block", "seq").collect()] == lines
 
 
+def test_text_outputs_are_put_together_from_parts(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, f"{i}\t" + "é" * rng.randrange(5) + "x" * rng.choice([0, 10, 70_000])) for i in range(900)]
+    df = spark.createDataFrame(rows, "n long, value string").repartitionByRange(7, "n").sortWithinPartitions("n")
+    for name in ("a.txt", "b.vcf.gz"):
+        listed = write_lines(df, str(tmp_path / name), ["#head", "#two"])
+        data = (tmp_path / name).read_bytes()
+        assert sum(e["size"] for e in listed) == len(data) and len(listed) > 3 and not (tmp_path / f"{name}.parts").exists()
+        text = gzip.decompress(data) if name.endswith("gz") else data
+        assert text.decode() == "".join(f"{v}\n" for v in ["#head", "#two", *(v for _, v in rows)])
+    got = spark.read.format("bgzip_lines").option("path", str(tmp_path / "b.vcf.gz")).option("split_bytes", 20_000).load()
+    assert [r.value for r in got.orderBy("block", "seq").collect()][2:] == [v for _, v in rows]
+    write_lines(df.limit(0), str(tmp_path / "c.gz"), ["#only"])
+    assert gzip.decompress((tmp_path / "c.gz").read_bytes()) == b"#only\n"
+
+
 def test_merged_intervals(spark):
     rng = random.Random(9)
     rows = [("k" if rng.random() < 0.6 else "j", s := rng.randint(0, 3000), s + rng.randint(1, 90)) for _ in range(400)]
@@ -44,6 +62,26 @@ def test_first_segment_of_each_point(spark):
     segments = [(rng.choice("xy"), a := rng.randint(0, 900), a + rng.randint(0, 300), i) for i in range(60)]
     points = [(rng.choice("xyz"), rng.randint(0, 1300), i) for i in range(500)]
     got = first_containing(spark.createDataFrame(points, "c string, p long, n long"), spark.createDataFrame(segments, "c string, s long, e long, no long")
-                           .selectExpr("c", "s", "e", "no", "no * 2 as twice"), ["c"], "p", "s", "e", "no", ["twice"], width=128).collect()
+                           .selectExpr("c", "s", "e", "no", "no * 2 as twice"), ["c"], "p", "s", "e", "no", ["twice"]).collect()
     want = {n: next((2 * i for c2, s, e, i in segments if c2 == c and s <= p <= e), None) for c, p, n in points}
     assert len(got) == 500 and {r.n: r.twice for r in got} == want
+
+
+def test_a_segment_becomes_few_ranges(spark):
+    rng = random.Random(8)
+    rows = [(a := rng.randrange(-5000, 10**6), a + rng.choice([0, 1, 7, 900, 10**5])) for _ in range(200)] + [(0, 2**30), (5, 4)]
+    made = spark.createDataFrame(rows, "s long, e long").select("s", "e", dyadic_nodes("s", "e").alias("n")).collect()
+    for r in made:
+        spans = sorted((n._node << n._level, n._node + 1 << n._level) for n in r.n)
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:])) and len(spans) <= 2 * max(1, r.e - r.s + 1).bit_length()
+        assert not spans if r.e < r.s else (spans[0][0], spans[-1][1]) == (r.s, r.e + 1)
+
+
+def test_masks_met_by_variants(spark):
+    rng = random.Random(12)
+    raw = [(no, rng.choice("ab"), s := rng.randrange(0, 4000), s + rng.choice([1, 5, 40, 700])) for no in (0, 1, 2) for _ in range(25)]
+    merged = merge_intervals(spark.createDataFrame(raw, "mask_no int, contig string, s long, e long"), ["mask_no", "contig"], "s", "e")
+    rows = [(i, rng.choice("abc"), rng.randrange(1, 5000), "A" * rng.choice([1, 1, 1, 3, 60])) for i in range(400)]
+    got = with_masks(spark.createDataFrame(rows, "n long, contig string, pos long, ref string"), merged, ["one", "two", "one"], chunk=256).collect()
+    want = {n: {["one", "two", "one"][no] for no, c, s, e in raw if c == contig and s < pos - 1 + len(ref) and e > pos - 1} for n, contig, pos, ref in rows}
+    assert len(got) == 400 and all(set(r.masks) == want[r.n] and len(r.masks) == len(want[r.n]) for r in got) and any(want.values())
