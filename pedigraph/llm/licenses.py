@@ -12,6 +12,7 @@ repeats of a short notice, are verified stretch by stretch.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -79,7 +80,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bas
     """
     rows = pick(docs, id_col, text_col).select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
-        F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _WORDS), "").alias("words"))
+        F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), _WORDS), "").alias("words"))
     hashed = rows.select("id", "th", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     pairs = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
     grams = hashed.select("id", "th", "n_words", F.posexplode(F.concat(F.array(F.lit(_SELF).cast("long")), pairs)).alias("at", "gram"))
@@ -156,9 +157,11 @@ hits as (select r, template, any_value(label) as label, any_value(is_base) as is
 near as (select *, case when diagonal - lag(diagonal) over w <= case when is_base then 0 else {GAP} end then 0 else 1 end as fresh from hits
   window w as (partition by r, template order by diagonal)),
 runs as (select *, sum(fresh) over (partition by r, template order by diagonal) as run from near),
+near_by as (select *, bit_count(bit_or(mask) over (partition by r, template, run order by diagonal range between current row and {2 * GAP} following))::double / places as tight from runs),
 merged as (select r, template, any_value(label) as label, any_value(is_base) as is_base, any_value(places) as places, any_value(length) as length,
-  bit_count(bit_or(mask))::double / any_value(places) as coverage, min(low) as low, max(high) + 2 as high from runs group by r, template, run),
-fits as (select * from merged where case when is_base then coverage = 1 else coverage >= {COVERAGE} and high - low <= length + {2 * GAP} end)
+  bit_count(bit_or(mask))::double / any_value(places) as coverage, min(low) as low, max(high) + 2 as high, max(tight) as tight from near_by group by r, template, run),
+judged as (select *, case when is_base then coverage = 1 else coverage >= {COVERAGE} and high - low <= length + {2 * GAP} end as whole from merged),
+fits as (select r, label, is_base, low, case when whole then coverage else tight end as coverage from judged where whole or not is_base and tight >= {COVERAGE})
 select any_value(doc_id) as doc_id, any_value(len(words))::bigint as n_words, count(label) filter (where is_base) as n_base,
   min(low) filter (where is_base) as first_word, max(low) filter (where is_base) as last_word,
   coalesce(string_agg(distinct label, ',' order by label) filter (where is_base), '') as base_labels,

@@ -12,7 +12,7 @@ import pytest
 
 from pedigraph.llm import chat, langid, licenses, pieces, secrets
 from pedigraph.llm.common import pick
-from tests.llm.helpers import SF, awkward, clashing, empty
+from tests.llm.helpers import DOCS, SF, awkward, clashing, empty
 
 MODEL = open(pieces.PIECE_MODEL, "rb").read()
 ALPHABET = [" ", "  ", "\n", "\t", "a", "the", " of", "é", "ß", "中", "\U0001f389", "▁", "<s>", "<0x41>", "\x00", "ing", "123", "   ", "</s>"]
@@ -275,3 +275,31 @@ def test_decoding_equals_the_tokenizers_decoder():
     codec = pieces.Codec(MODEL)
     rows = [[rng.randrange(len(codec.starts)) for _ in range(rng.randint(0, 12))] for _ in range(500)]  # loose bytes and control pieces too
     assert codec.decode([np.array(r, dtype=np.int32) for r in rows]) == [codec.tokens.decode(r, skip_special_tokens=False) for r in rows]
+
+
+def test_license_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(31)
+    words = "the of license and software Copyright MIT Apache rights reserved this work is licensed under \u212a x1 straße".split()
+    phrases = [p for _, p in licenses.NOTICES] + [p for _, p in licenses.BASE]
+    rows = []
+    for i in range(2000):
+        bits = []
+        for _ in range(rng.randrange(0, 7)):
+            phrase = rng.choice(phrases).split()
+            if rng.random() < 0.4:
+                phrase.insert(rng.randrange(len(phrase)), rng.choice(words))
+            if rng.random() < 0.3:
+                del phrase[rng.randrange(len(phrase))]
+            bits += [rng.choice([" ", ", ", ".\n"]).join([rng.choice([w, w, w.upper(), w.replace("k", "\u212a")]) for w in phrase])] * rng.choice([1, 1, 1, 2, 5])
+            bits += rng.choices(words, k=rng.randrange(4))
+        rows.append((i, rng.choice([" ", ". ", "\n"]).join(bits) if rng.random() < 0.99 else None, "en", "a", 0))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    df = licenses.op9_license_diagonals(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    answer = con.execute(licenses.ORACLE)
+    names = [c[0] for c in answer.description]
+    got, want = (sorted(map(tuple, x), key=repr) for x in (df.select(*names).collect(), answer.fetchall()))
+    assert got == want and sum(r[names.index("labels")] != "" for r in got) > 1000
