@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,24 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"_{at(df, n)}").alias(n) for n in names])
 
 
+BATCH_ROWS = "1000"  # texts an Arrow batch holds while a step is written
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows as Parquet to the shared folder of spark.checkpoint.dir and read them again.
 
     Cuts the lineage at files that outlive any executor, computes the step once, and
-    gives the next plan true sizes.
+    gives the next plan true sizes.  The write uses smaller Arrow batches than the session.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,3 +63,33 @@ def text_slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | Non
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else []
     for lo, hi in zip(edges, edges[1:]):
         yield texts.slice(lo, hi - lo).to_pylist()
+
+
+_stores: list[Callable[[], None]] = []
+_user: list[str] = []
+
+
+def stored(forget: Callable[[], None]) -> None:
+    """Register what a Python worker keeps between tasks, so that another operator can have it dropped."""
+    _stores.append(forget)
+
+
+def trimmed() -> None:
+    """Give memory that is free inside this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def enter(user: str) -> None:
+    """Called by an operator's code on a worker: what other operators keep there is dropped.
+
+    Workers are used again from stage to stage; without this each holds the models and stores of
+    all operators that ever ran on it.
+    """
+    if _user != [user]:
+        for forget in _stores:
+            forget()
+        trimmed()
+        _user[:] = [user]

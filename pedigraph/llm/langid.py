@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import pick, text_slices
+from pedigraph.llm.common import enter, pick, text_slices, trimmed
 
 DOCS_PER_LANGUAGE = 2000
 MAX_CELLS = 1 << 23
@@ -81,6 +81,7 @@ def training_rows(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> tup
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Four-byte windows (three bytes of context and the next) of folded texts, counted per language."""
+    enter("langid")
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
             grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -93,6 +94,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     grams, counts = _merge(grams, counts)
             grams, counts = _merge(grams, counts)
             yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
+    trimmed()
 
 
 def _merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +239,9 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double, rejected boolean")
     def run(texts: pa.Array) -> pa.Array:
+        enter("langid")
         found = pd.concat([classify(shared.value, part) for part in text_slices(texts)] or [classify(shared.value, [])])
+        trimmed()
         return pa.StructArray.from_arrays([pa.array(found[c], k) for c, k in zip(found.columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))],
                                           names=list(found.columns))
 

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import at, pick, text_slices
+from pedigraph.llm.common import at, enter, pick, stored, text_slices
 
 PIECE_MODEL = os.environ.get("PEDIGRAPH_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 MARK = "▁"
@@ -118,7 +118,7 @@ def rebuild(model: PieceModel):
         made = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback))
     else:
         made = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, _merges(model), byte_fallback=model.byte_fallback,
-                                    unk_token=model.pieces[model.unknown][0], fuse_unk=True, cache_capacity=100_000))
+                                    unk_token=model.pieces[model.unknown][0], fuse_unk=True, cache_capacity=0))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze_spaces:
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -223,10 +223,14 @@ def codec(data: bytes, verify: bool = False) -> Codec:
     return Codec(data, verify)
 
 
+stored(codec.cache_clear)
+
+
 def _encode_batches(model, column: int, threads: int, verify: bool, round_trip: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
+        enter("pieces")
         own = codec(model.value, verify)
         for batch in batches:
             lo = 0

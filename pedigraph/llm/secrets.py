@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pedigraph.llm.common import at, pick, text_slices
+from pedigraph.llm.common import at, enter, pick, text_slices
 
 WORDS_PATH = os.environ.get("PEDIGRAPH_TOKENIZERS", "/opt/tokenizers") + "/word_bpe_49k.json"
 MIN_DIGITS = 8.0
@@ -268,6 +268,7 @@ def scan(docs: DataFrame, text_col: str = "text", words_path: str = WORDS_PATH,
 
     @F.arrow_udf(_SCHEMA)
     def run(texts: pa.Array) -> pa.Array:
+        enter("secrets")
         rows = []
         for text in (t for part in text_slices(texts) for t in part):
             spans = find(text, ranks.value, min_digits)
@@ -288,6 +289,7 @@ def redacted(docs: DataFrame, text_col: str = "text", words_path: str = WORDS_PA
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
+        enter("secrets")
         return pa.chunked_array([pa.array([redact(t, find(t, ranks.value, min_digits)) for t in part], pa.string()) for part in text_slices(texts)],
                                 pa.string()).combine_chunks()
 
