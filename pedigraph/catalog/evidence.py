@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pedigraph.catalog.derive import table
-from pedigraph.operators import beliefs as bel, graph as gr
+from pedigraph.operators import beliefs as bel, graph as gr, validation as va
 
 # Node types by number.
 TYPES = ["variant", "gene", "perturbation", "mechanism", "cell_state", "cell_phenotype", "tissue_pathology",
@@ -131,6 +131,26 @@ def clinic_chains(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source", "target", F.round("weakest", 6).alias("weakest"), F.round("score", 6).alias("score"), "n_edges")
 
 
+def ordered_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders of a customer's quarter are validations between the ends of a rhombus: which side each lands on."""
+    o = table(spark, folder, "orders").select(
+        "o_orderkey", F.concat_ws("-", "o_custkey", F.year("o_orderdate"), F.quarter("o_orderdate")).alias("g"), F.col("o_custkey").alias("c"),
+        (F.col("o_orderkey") % 3 + 2).cast("int").alias("tier"), F.when(F.col("o_orderstatus") == "F", "contradicts").otherwise("supports").alias("polarity"),
+        (F.floor("o_totalprice") % 100 / 100).alias("strength"))
+    at = lambda letter: F.concat("g", F.lit(letter))
+    sides = o.select("g", "c").distinct().select("g", "c", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("no"), at(a).alias("src"), at(b).alias("dst"), F.lit(m).alias("m")) for n, (a, b, m) in enumerate((("a", "b", 1), ("a", "c", 7), ("b", "d", 1), ("c", "d", 7)))
+    ])).alias("e"))
+    edges = sides.select("e.src", "e.dst", F.lit("activates").alias("sign"), F.col("e.no").cast("long").alias("edge_no"))
+    base = sides.select("e.src", "e.dst", F.lit(2).alias("tier"), F.lit("supports").alias("polarity"), ((F.col("c") * F.col("e.m") % 10 + 1) / 10).alias("strength"),
+                        F.lit(True).alias("is_independent"))
+    items = o.select(F.col("o_orderkey").alias("item"), F.col("o_orderkey").alias("at"), F.lit(None).cast("array<string>").alias("nodes"), at("a").alias("source"),
+                     at("d").alias("target"), "tier", "polarity", "strength", F.lit(True).alias("is_independent"))
+    nodes = edges.select(F.col("src").alias("name"), F.lit("gene").alias("type")).distinct()
+    out = va.validated_in_order(edges, base, items, nodes, 2).where(F.col("src").endswith("a"))
+    return out.select(F.col("item").alias("o_orderkey"), F.right("dst", F.lit(1)).alias("side"))
+
+
 def _hyps(spark, folder):
     o = table(spark, folder, "orders")
     k = F.col("o_orderkey")
@@ -208,6 +228,7 @@ QUERIES = {
     "simple_chains": simple_chains,
     "best_chains": best_chains,
     "clinic_chains": clinic_chains,
+    "ordered_validation": ordered_validation,
     "belief_update": belief_update,
     "prune_hypotheses": prune_hypotheses,
     "park_hypotheses": park_hypotheses,
@@ -330,6 +351,16 @@ ways AS (SELECT c_custkey AS source, c_custkey AS node, CAST('infinity' AS DOUBL
   SELECT source, dst, max(least(w, s)), n + 1 FROM ways JOIN e ON src = node WHERE n < 8 AND dst <> source GROUP BY source, dst, n),
 sc AS""") + """, clinic AS (SELECT source, node AS target, max(w) AS w, arg_min(n, (-w, n)) AS n FROM ways JOIN customer ON c_custkey = node WHERE n > 0 AND node % 4 = 1 GROUP BY ALL)
 SELECT source, target, round(w, 6) AS weakest, round(CASE WHEN w <= 0 THEN w ELSE w * (1.25 + CASE WHEN source % 4 = 0 THEN 0.25 ELSE 0 END) END, 6) AS score, n AS n_edges FROM clinic""",
+    "ordered_validation": """
+WITH o AS (SELECT o_orderkey, o_custkey AS c, year(o_orderdate) * 10 + quarter(o_orderdate) AS q, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END
+  * [0.15, 0.35, 0.6, 0.85, 1.0][o_orderkey % 3 + 2] * (floor(o_totalprice) % 100 / 100) AS w FROM orders),
+g AS (SELECT c, q, list({'k': o_orderkey, 'w': w} ORDER BY o_orderkey) AS l, {'p': [0.35 * ((c % 10 + 1) / 10)], 'n': 0.0, 'p2': [0.35 * ((c * 7 % 10 + 1) / 10)], 'n2': 0.0, 's': ''} AS z
+  FROM o GROUP BY ALL),
+f AS (SELECT l, list_reduce(l, lambda a, x: CASE
+    WHEN list_sum(list_transform(list_reverse_sort(a.p), lambda v, i: v * pow(0.5, i - 1))) - a.n >= list_sum(list_transform(list_reverse_sort(a.p2), lambda v, i: v * pow(0.5, i - 1))) - a.n2
+    THEN {'p': CASE WHEN x.w > 0 THEN list_append(a.p, x.w) ELSE a.p END, 'n': a.n - CASE WHEN x.w < 0 THEN x.w ELSE 0 END, 'p2': a.p2, 'n2': a.n2, 's': a.s || 'b'}
+    ELSE {'p': a.p, 'n': a.n, 'p2': CASE WHEN x.w > 0 THEN list_append(a.p2, x.w) ELSE a.p2 END, 'n2': a.n2 - CASE WHEN x.w < 0 THEN x.w ELSE 0 END, 's': a.s || 'c'} END, z) AS r FROM g)
+SELECT u.k AS o_orderkey, u.side FROM (SELECT unnest(list_transform(l, lambda x, i: {'k': x.k, 'side': substr(r.s, i, 1)})) AS u FROM f)""",
     "belief_update": _HYPS + """SELECT hyp, round(1 / (1 + exp(-(z + CASE WHEN hyp % 5 = 0 THEN (hyp % 7 - 3) / 5.0 ELSE 0 END))), 8) AS belief,
   n_contradicting, top_tier, n_independent FROM scored""",
     "prune_hypotheses": _HYPS + """, b AS (SELECT *, 1 / (1 + exp(-z)) AS belief FROM scored),

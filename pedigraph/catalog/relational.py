@@ -9,7 +9,7 @@ from pedigraph.catalog.cascade import sql_cdf, sql_fisher, sql_sf
 from pedigraph.catalog.derive import table
 from pedigraph.config import load_config
 from pedigraph.functions import ladders as lad
-from pedigraph.functions.genotype import depth_of
+from pedigraph.functions.genotype import depths_of
 from pedigraph.functions.numeric import fixed, general, scientific
 from pedigraph.functions.stats import binom_cdf, binom_sf, fisher_exact, log_sum_exp, wilson_interval
 from pedigraph.functions.text import info_double, info_flag, info_text, trim_suffix
@@ -93,7 +93,7 @@ def median_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Exact median depth of called genotypes per sample of the derived calls."""
     v = derive.trio_calls(spark, folder)
     calls = F.transform("calls", lambda c, i: F.struct(i.alias("sample_no"), c.alias("call")))
-    d = v.records.select("format", F.inline(calls)).select("sample_no", depth_of(F.col("call"), F.split("format", ":")).alias("d"))
+    d = depths_of(v.records.select("format", F.inline(calls)), {"d": F.col("call")}, ("sample_no",))
     return d.groupBy("sample_no").agg(F.median("d").alias("median_depth"), F.count("d").alias("n"))
 
 

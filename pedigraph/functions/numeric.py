@@ -36,8 +36,13 @@ def to_long(text: Column) -> Column:
 
 def long_list(text: Column) -> Column:
     """Comma list of numbers cut toward zero; a missing element is NULL and counts as 0."""
-    numbers = F.split(text, ",").try_cast("array<double>").cast("array<bigint>")
-    return F.when(present(text).isNull(), F.array().cast("array<bigint>")).otherwise(numbers)
+    return F.when(present(text).isNull(), F.array().cast("array<bigint>")).otherwise(double_list(text, ",").cast("array<bigint>"))
+
+
+def double_list(text: Column, marks: str) -> Column:
+    """The numbers between ``marks``, NULL for what ``to_double`` does not read; one cast unless some carry a suffix."""
+    cells = F.split(text, marks)
+    return F.when(text.rlike("[0-9.][dDfF]\\s*([,&]|$)"), F.transform(cells, to_double)).otherwise(cells.try_cast("array<double>"))
 
 
 def item(values: Column, i: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pedigraph.functions.numeric import fixed
+from pedigraph.functions.numeric import fixed, round_even
 from pedigraph.functions.stats import logistic
 from pedigraph.operators.graph import signed_weight
 
@@ -53,7 +53,7 @@ def refresh(hyps: DataFrame, debate: DataFrame | None = None) -> DataFrame:
 
 def rank_order() -> list[Column]:
     """Strongest first: belief, chain score, programme flags, novelty; insertion order breaks ties."""
-    return [F.desc(F.round("belief", 4)), F.desc(F.round(F.coalesce("chain_score", F.lit(0.0)), 4)), F.desc("relevance"),
+    return [F.desc(round_even(F.col("belief"), 4)), F.desc(round_even(F.coalesce("chain_score", F.lit(0.0)), 4)), F.desc("relevance"),
             F.desc("novelty"), F.asc("ins")]
 
 

@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pedigraph import sinks
+from pedigraph.functions.genome import is_snv
 from pedigraph.functions.numeric import general, py_bool, to_double
 from pedigraph.functions.text import bare_chrom, info_text
 from pedigraph.operators import annotation as ann, ranking, spectrum
@@ -152,3 +153,14 @@ def write_spectrum(counts, path: str) -> None:
     """The 96 rows of a spectrum in channel order."""
     with open(path, "w") as fh:
         fh.write("channel\tcount\n" + "".join(f"{r['channel']}\t{r['count']}\n" for r in counts))
+
+
+def run_signatures(spark: SparkSession, vcf: str, fasta_path: str, out_prefix: str, signatures_path: str | None = None,
+                   signature_subset: list[str] | None = None) -> dict | None:
+    """Channel spectrum of the passing SNVs of a call file; with a matrix also its refit."""
+    passing = read_vcf(spark, vcf).records.where(is_snv(F.col("ref"), F.col("alt")) & F.col("filter").isin("PASS", "."))
+    counts = spectrum.channel_counts(sanity.context(fasta.add_reference(spark, fasta_path, passing))).orderBy("channel_no").collect()
+    write_spectrum(counts, out_prefix + ".sbs96.tsv")
+    if signatures_path:
+        return spectrum.refit_vector([r["count"] for r in counts], spectrum.read_signatures(signatures_path, signature_subset))
+    return None

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pedigraph.functions import coerce as co
 from pedigraph.operators import beliefs as bel, graph as gr
+from pedigraph.operators.validation import validated_in_order
 from pedigraph.session import durable
 
 # Agents with their layer, in roster order.
@@ -107,6 +108,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Event logs
 # --------------------------------------------------------------------------- #
+def named_steps(chain: Column) -> Column:
+    """The nodes of a declared chain; steps without one are left out (types and signs still go by the step's place)."""
+    return F.filter(F.transform(chain, lambda s: s["node"]), lambda n: F.coalesce(n, F.lit("")) != "")
+
+
 def edge_log(spark: SparkSession, folder: str) -> DataFrame:
     """Edges with one supporting evidence each: src, dst, types, sign, seq, tier, strength."""
     def rows(df, agent, src, dst, st, dt, sign, tier, strength, step=0):
@@ -125,8 +131,8 @@ def edge_log(spark: SparkSession, folder: str) -> DataFrame:
     causal = co.truth(F.col("coloc")) & co.truth(F.col("finemapped"))
     rank = F.greatest(F.when(causal, 5).otherwise(2), F.when(co.truth(F.col("perturbation_confirmed")), 4).otherwise(0))
     n = payload(spark, folder, "tissue_ecology").where(F.coalesce("supports_state", F.lit("")) != "")
-    m = payload(spark, folder, "mechanism_generator").where(F.size("chain") >= 2).select(
-        "i", "chain", F.explode(F.sequence(F.lit(0), F.size("chain") - 2)).alias("j"))
+    m = payload(spark, folder, "mechanism_generator").withColumn("names", named_steps(F.col("chain"))).where(F.size("names") >= 2).select(
+        "i", "chain", "names", F.explode(F.sequence(F.lit(0), F.size("names") - 2)).alias("j"))
     here, there = F.get("chain", F.col("j")), F.get("chain", F.col("j") + 1)
     return _union([
         rows(t, "trajectory", F.col("from"), F.col("to"), "cell_state", "cell_state", "activates", co.tier(F.col("evidence_tier")), 0.55),
@@ -137,7 +143,7 @@ def edge_log(spark: SparkSession, folder: str) -> DataFrame:
         rows(g, "genetic_causality", F.coalesce("variant", F.concat(F.lit("variant_"), "i")), F.col("gene"), "variant", "gene",
              F.when(F.col("direction") == "risk", "activates").otherwise("inhibits"), rank, F.when(rank == 5, 0.85).otherwise(0.5)),
         rows(n, "tissue_ecology", F.col("supports_state"), F.col("name"), "cell_state", "tissue_pathology", "activates", 2, 0.5),
-        rows(m, "mechanism_generator", here["node"], there["node"], co.node_type(here["type"]), co.node_type(there["type"]),
+        rows(m, "mechanism_generator", F.get("names", F.col("j")), F.get("names", F.col("j") + 1), co.node_type(here["type"]), co.node_type(there["type"]),
              co.sign(there["sign"], "activates"), 1, 0.3, F.col("j")),
     ])
 
@@ -154,7 +160,7 @@ def hypotheses(spark: SparkSession, folder: str) -> DataFrame:
     """Declared hypotheses; a repeated id keeps its last row and first place."""
     m = payload(spark, folder, "mechanism_generator")
     flags = sum((co.truth(F.col(c)).cast("int") for c in ("touches_switch", "touches_ecology", "touches_fork")), F.lit(0))
-    own = m.select(F.col("id").alias("hyp"), "statement", F.when(F.size("chain") >= 2, F.transform("chain", lambda s: s["node"])).alias("nodes"),
+    own = m.select(F.col("id").alias("hyp"), "statement", F.when(F.size(named_steps(F.col("chain"))) >= 2, named_steps(F.col("chain"))).alias("nodes"),
                    F.lit(None).cast(S).alias("source"), F.lit(None).cast(S).alias("target"), (flags * 0.34).alias("relevance"),
                    F.coalesce("novelty", F.lit(0.5)).alias("novelty"), _seq("mechanism_generator", F.col("i")).alias("seq"))
     a = payload(spark, folder, "alternative")
@@ -263,11 +269,10 @@ def investigate(spark: SparkSession, question: str, folder: str, focus: str = ""
     stage("Challenge & Prune #1", first)
 
     checked = durable(validations(spark, folder))
-    on_edges = checked.where("is_independent").join(first.select("hyp", "chain_nodes"), "hyp").where(F.size("chain_nodes") >= 2).select(
-        "tier", "polarity", "strength", "is_independent", F.explode(F.arrays_zip(
-            F.slice(F.col("chain_nodes"), F.lit(1), F.size("chain_nodes") - 1).alias("src"),
-            F.slice(F.col("chain_nodes"), F.lit(2), F.size("chain_nodes") - 1).alias("dst"))).alias("e"))
-    evidence = evidence.unionByName(on_edges.select("e.src", "e.dst", "tier", "polarity", "strength", "is_independent"))
+    landing = checked.where("is_independent").join(hyps.select("hyp", "nodes", "source", "target"), "hyp").withColumn(
+        "item", F.xxhash64("hyp", "seq")).withColumnRenamed("seq", "at")
+    on_edges = validated_in_order(folded, evidence, landing, nodes)
+    evidence = evidence.unionByName(on_edges.select("src", "dst", "tier", "polarity", "strength", "is_independent"))
     edges = durable(gr.with_support(folded, evidence))
     flags = payload(spark, folder, "statistics")
     flagged = _attached(flags.where(F.col("recommendation").isin("downgrade", "eliminate")), _seq("statistics", F.col("i")), 2, "contradicts",

@@ -5,8 +5,11 @@ import random
 import struct
 import zlib
 
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThanOrEqual
+
 from pedigraph.operators.intervals import dyadic_nodes, first_containing, merge_intervals, with_masks
 from pedigraph.sinks import write_lines
+from pedigraph.sources import regions
 from pedigraph.sources.text import read_lines
 
 
@@ -85,3 +88,30 @@ def test_masks_met_by_variants(spark):
     got = with_masks(spark.createDataFrame(rows, "n long, contig string, pos long, ref string"), merged, ["one", "two", "one"], chunk=256).collect()
     want = {n: {["one", "two", "one"][no] for no, c, s, e in raw if c == contig and s < pos - 1 + len(ref) and e > pos - 1} for n, contig, pos, ref in rows}
     assert len(got) == 400 and all(set(r.masks) == want[r.n] and len(r.masks) == len(want[r.n]) for r in got) and any(want.values())
+
+
+def test_a_region_reads_only_its_blocks(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(c, p, f"{c}\t{p}\tr{c}{p}\tA\tC\t9\tPASS\tX=" + "".join(rng.choices("abcdefgh", k=400))) for c in ("1", "2", "X") for p in range(10, 20_000, 40)]
+    df = spark.createDataFrame([(i, v) for i, (_, _, v) in enumerate(rows)], "n long, value string").orderBy("n")
+    path = str(tmp_path / "calls.vcf.gz")
+    write_lines(df, path, ["##fileformat=VCFv4.2", "#CHROM\tPOS"])
+    regions.write_block_index(spark, path, 20_000)
+    split, index = regions.read_block_index(path)
+    assert split == 20_000 and len(index) > 9
+    for contig, first, last in (("2", 5000, 5400), ("X", 19_000, None), ("1", None, 100), ("7", 1, 2), (None, None, None)):
+        reader = regions.FilteredCalls({"path": path}).reader(None)
+        asked = [*([EqualTo(("chrom",), contig)] if contig else []), *([GreaterThanOrEqual(("pos",), first)] if first else []), *([LessThanOrEqual(("pos",), last)] if last else [])]
+        assert list(reader.pushFilters(asked)) == asked
+        got = regions.read_calls(spark, path, contig, first, last)
+        want = [(c, p) for c, p, _ in rows if contig in (None, c) and (first or 0) <= p <= (last or 10**9)]
+        assert sorted((r.chrom, r.pos) for r in got.select("chrom", "pos").collect()) == sorted(want)
+        blocks = [p for p in reader.partitions() if p.start < p.end]
+        assert got.rdd.getNumPartitions() == max(1, len(blocks))
+        assert len(blocks) <= 3 if contig else len(blocks) == len({b for b, *_ in index})
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = spark.read.format("vcf_filtered").option("path", path).load().where("chrom = '2' and pos between 5000 and 5400")
+        assert pushed.count() == 10 and pushed.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
