@@ -67,16 +67,16 @@ def splitters(rows: DataFrame, count: int, total: int, shards: int) -> tuple[np.
     twice its share is cut again from a denser sample of its own keys.
     """
     ranges = max(shards * RANGES_PER_SHARD, -(-count // ROWS_PER_RANGE))
-    bounds = _quantiles(_sample(rows, "size", SAMPLES_PER_RANGE * ranges / max(1, total)), ranges)
+    bounds = _quantiles(_sample(rows, "bytes", SAMPLES_PER_RANGE * ranges / max(1, total)), ranges)
     for left in range(_ROUNDS, -1, -1):
-        found = rows.select(range_column(bounds).alias("part"), "size").groupBy("part").agg(
-            F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).toPandas().sort_values("part", ignore_index=True)
-        full = found[(found["bytes"] > 2 * total / ranges) & (found["rows"] > 1)]
+        found = rows.select(range_column(bounds).alias("part"), "bytes", "copies").groupBy("part").agg(
+            F.sum("bytes").alias("bytes"), F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("kinds")).toPandas().sort_values("part", ignore_index=True)
+        full = found[(found["bytes"] > 2 * total / ranges) & (found["kinds"] > 1)]
         if not len(full) or not left:
             return bounds, found
         part = range_column(bounds)
-        inside = rows.select("key", "id", "size", part.alias("part")).where(F.col("part").isin([int(p) for p in full["part"]]))
-        extra = _sample(inside, "size", 4 * SAMPLES_PER_RANGE * ranges / max(1, total))
+        inside = rows.select("key", "id", "bytes", part.alias("part")).where(F.col("part").isin([int(p) for p in full["part"]]))
+        extra = _sample(inside, "bytes", 4 * SAMPLES_PER_RANGE * ranges / max(1, total))
         piece = np.searchsorted(bounds, extra, side="right")
         more = [_quantiles(extra[piece == p], max(2, int(2 * b * ranges / total))) for p, b in zip(full["part"], full["bytes"])]
         grown = np.unique(np.concatenate([bounds, *more]))
@@ -94,19 +94,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     null ids sort first among equal keys, repeated rows take places of their own, and an
     empty table gives an empty result.
     """
-    rows = landed(keyed(docs, id_col, text_col), "keys")
-    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    alike = keyed(docs, id_col, text_col).groupBy("id", "size", "crc", "key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = landed(alike.withColumn("bytes", F.col("size") * F.col("copies")), "keys")  # repeats are one row until they are placed
+    count, total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bounds, found = splitters(rows, count, total, shards)
     before = dict(zip(found["part"].tolist(), zip((found["bytes"].cumsum() - found["bytes"]).tolist(), (found["rows"].cumsum() - found["rows"]).tolist())))
     schema = "part int, bytes_before long, rows_before long"
     offsets = rows.sparkSession.createDataFrame([(int(p), int(b), int(r)) for p, (b, r) in before.items()], schema)
     inside = Window.partitionBy("part").orderBy("key", "id", "size", "crc")
     placed = (rows.withColumn("part", range_column(bounds))
-              .withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .withColumn("nth", F.row_number().over(inside))
+              .withColumn("upto", F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .withColumn("nth", F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .join(F.broadcast(offsets), "part")  # one row per range: bounded by the number of ranges
-              .select("id", "size", "crc", (F.col("bytes_before") + F.col("upto") - F.col("size")).alias("start"),
-                      (F.col("rows_before") + F.col("nth") - 1).alias("place")))
+              .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+              .select("id", "size", "crc", (F.col("bytes_before") + F.col("upto") - F.col("bytes") + F.col("copy") * F.col("size")).alias("start"),
+                      (F.col("rows_before") + F.col("nth") - F.col("copies") + F.col("copy")).alias("place")))
     middle = F.expr("2 * start + size")  # twice the middle byte of the row
     placed = landed(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(2.0 * max(1, total)))).cast("int")), "placed")
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))

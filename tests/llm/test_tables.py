@@ -100,7 +100,8 @@ def test_shards_cut_one_hot_text(spark):
 
 def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)
-    rows = sharding.keyed(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))).cache()
+    rows = sharding.keyed(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")))
+    rows = rows.selectExpr("*", "size as bytes", "1L as copies").cache()
     total = rows.agg(F.sum("size")).first()[0]
     bounds, found = sharding.splitters(rows, 3000, total, 2)
     first = np.unique(sharding._quantiles(sharding._sample(rows, "size", 32 / total), 32))
@@ -273,3 +274,18 @@ def test_pipeline_stages_on_awkward_rows(spark):
     assert clean["password = [secret]"] == 19
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), "").count() == 0
+
+
+def test_shards_against_a_plain_placement(spark):
+    rng = random.Random(17)
+    rows = [(rng.randrange(400), rng.choice(["same text", f"text {rng.randrange(90)}" * rng.randrange(1, 200), None]), "en", "a", 0) for _ in range(900)]
+    rows += [(7, "again " * 50, "en", "a", 0)] * 800 + [(None, "no id", "en", "a", 0)] * 5
+    docs = spark.createDataFrame(rows, DOCS)
+    ordered = sorted(((r.key, r.id is not None, r.id or 0, r.size, r.crc or -1) for r in sharding.keyed(docs).collect()))
+    total, start, want, nth = sum(r[3] for r in ordered), 0, [], {}
+    for _, known, doc_id, size, crc in ordered:
+        shard = min(6, (2 * start + size) * 7 // (2 * total))
+        want.append((doc_id if known else None, size, None if crc == -1 else crc, shard, nth.get(shard, 0)))
+        nth[shard] = nth.get(shard, 0) + 1
+        start += size
+    assert sorted(map(tuple, sharding.shard(docs, 7).collect()), key=repr) == sorted(want, key=repr)
