@@ -11,7 +11,7 @@ from pedigraph.config import load_config
 from pedigraph.functions import coerce as co
 from pedigraph.operators import layers
 from pedigraph.operators.strand import pileup_counts, with_pileup
-from pedigraph.plans.somatic import hit_evidence
+from pedigraph.plans.somatic import hit_evidence, two_hit_table
 from pedigraph.sources.callers import denovo_text_sites
 from pedigraph.sources.fasta import with_window
 from pedigraph.sources.tables import parse_parent_of_origin
@@ -85,7 +85,7 @@ def caller_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def second_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Germline hits of the suppliers, each with every passing somatic row of its gene and LOH over it."""
+    """Germline hits of the suppliers with the passing somatic rows of their genes and LOH over them."""
     k = F.col("s_suppkey")
     hits = table(spark, folder, "supplier").select(
         F.concat(F.lit("G"), k * 4).alias("gene"), k.alias("hit_no"), F.concat(F.lit("germline:"), k).alias("desc"), (k % 3 == 0).alias("loh"),
@@ -93,7 +93,7 @@ def second_hits(spark: SparkSession, folder: str) -> DataFrame:
     n = _numbers(spark, folder)
     rows = n.where("alt <> '*'").select("chrom", "pos", "ref", "alt", "seq", F.concat(F.lit("G"), "p").alias("gene"), F.when(F.col("p") % 8 == 0, "p.A1T").otherwise("").alias("hgvsp"),
                                         (F.col("q") / 64).alias("tv"), F.when(F.col("k") % 5 == 0, "PASS").otherwise("FILTERED").alias("status"))
-    return hit_evidence(rows, hits, ["seq"])
+    return two_hit_table(hit_evidence(rows, hits, ["seq"]), ["seq"])
 
 
 WORDS = ("human_genetics", " Animal ", "CRISPR", "opinion", "", "negative", "+", "Refuted", "inconclusive", "risk", "yes", "1", "drug", "cell_state", "lof", "mouse", "whatever")
@@ -162,12 +162,12 @@ FROM d WHERE p % 7 < 5 GROUP BY 1""",
     "caller_text": _D + """, t AS (SELECT chrom, pos::VARCHAR AS pos, ref, alt, '0.' || lpad((x % 100)::VARCHAR, 2, '0') AS pp_dnm, x % 100 >= 50 AS sure,
   p % 4 = 0 AND length(ref) = 1 AND ref <> 'T' AS child FROM d WHERE p % 10 <> 0)
 SELECT chrom, pos, ref, CASE WHEN child THEN 'T' ELSE alt END AS alt, pp_dnm FROM t WHERE sure AND CASE WHEN child THEN 'T' ELSE alt END <> ref""",
-    "second_hits": _D + """, h AS (SELECT 'G' || s_suppkey * 4 AS gene, s_suppkey AS hit_no, 'germline:' || s_suppkey AS germline_variant FROM supplier)
-SELECT gene, hit_no, germline_variant, 'somatic_variant' AS kind, seq,
-  concat_ws(' ', chrom || ':' || pos || ref || '>' || alt, CASE WHEN p % 8 = 0 THEN 'p.A1T' END, 'VAF=' || printf('%.3f', q / 64)) AS evidence
-FROM d JOIN h ON gene = 'G' || p WHERE alt <> '*' AND k % 5 = 0
-UNION ALL SELECT gene, hit_no, germline_variant, 'LOH', NULL, 'LOH chr5:' || hit_no * 100 || '-' || hit_no * 100 + 50 || ' minor_cn=0 total_cn=' || hit_no % 4
-FROM h WHERE hit_no % 3 = 0""",
+    "second_hits": _D + """, g AS (SELECT 'G' || p AS gene, string_agg(concat_ws(' ', chrom || ':' || pos || ref || '>' || alt, CASE WHEN p % 8 = 0 THEN 'p.A1T' END, 'VAF=' || printf('%.3f', q / 64)), '; ' ORDER BY seq) AS told
+  FROM d WHERE alt <> '*' AND k % 5 = 0 GROUP BY 1)
+SELECT 'G' || s_suppkey * 4 AS gene, s_suppkey AS hit_no, 'germline:' || s_suppkey AS germline_variant,
+  concat_ws('+', CASE WHEN told IS NOT NULL THEN 'somatic_variant' END, CASE WHEN s_suppkey % 3 = 0 THEN 'LOH' END) AS hit_type,
+  concat_ws('; ', told, CASE WHEN s_suppkey % 3 = 0 THEN 'LOH chr5:' || s_suppkey * 100 || '-' || s_suppkey * 100 + 50 || ' minor_cn=0 total_cn=' || s_suppkey % 4 END) AS somatic_evidence
+FROM supplier LEFT JOIN g ON gene = 'G' || s_suppkey * 4 WHERE told IS NOT NULL OR s_suppkey % 3 = 0""",
     "word_values": f"""SELECT o_orderkey, {_choice(co.TIER_WORDS, '2')} AS tier, {_choice(_groups(co.POLARITY_WORDS), "'supports'")} AS polarity,
   {_choice(_groups(co.SIGN_WORDS), "'unknown'")} AS sign, {_choice(co.NODE_WORDS, "'mechanism'")} AS node_type,
   CASE WHEN lower(trim(w)) = 'human_tissue' THEN 'human_tissue' ELSE {_choice(co.EXPERIMENT_WORDS, "'human_tissue'")} END AS experiment_type,
