@@ -95,3 +95,28 @@ def test_config_keeps_the_preset(tmp_path):
     cfg = load_config(str(path), "wes")
     assert (cfg["proband"]["min_dp"], cfg["proband"]["min_alt"], cfg["proband"]["min_gq"]) == (20, 7, 30)
     assert load_config(str(path), "wgs")["parent"]["min_dp"] == 15 and DEFAULTS["proband"]["min_gq"] == 20
+
+
+def test_info_and_contigs_without_patterns(spark):
+    """Plain searches give what the patterns gave, and only a key that is also a bare flag still needs one."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pedigraph.functions import text as tx
+    from pedigraph.functions.genome import chrom_class
+
+    rng = random.Random(3)
+    part = lambda: rng.choice(["A", "A=1", "A=", "A=2,3", "BA=4", "A=5=6", "AB", "AB=7", "", "B;A"])
+    infos = [None, "", "."] + [";".join(part() for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    has = F.coalesce(F.col("i").contains("A") & F.col("i").rlike(tx._info_pattern("A")), F.lit(False))
+    value = F.when(F.col("i").rlike(r"^(?:.*;)?A=[^;]*(?:;.*)?$"), F.regexp_extract("i", tx._info_pattern("A"), 1))
+    df = spark.createDataFrame([(i,) for i in infos], "i string").select(
+        "i", tx.info_has(F.col("i"), "A").alias("h"), has.alias("h0"), tx.info_text(F.col("i"), "A").alias("t"), value.alias("t0"),
+        tx.info_flag(F.col("i"), "A").alias("f"), (has & value.isNull()).alias("f0"))
+    assert [r for r in df.collect() if (r.h, r.t, r.f) != (r.h0, r.t0, r.f0)] == []
+    names = ["chr1", "CHRX", "cHrM", "chrmt", "x", "chr", "chrchr2", "ch1", None, "", "Mt", "HLA"]
+    got = spark.createDataFrame([(n,) for n in names], "c string").select(tx.bare_chrom(F.col("c")), F.regexp_replace("c", "^(?i)chr", ""), chrom_class(F.col("c"), F.lit(5))).collect()
+    assert all(r[0] == r[1] for r in got) and [r[2] for r in got] == ["auto", "X", "MT", "MT", "X", "auto", "auto", "auto", "auto", "auto", "MT", "auto"]
+    fresh = spark.createDataFrame([("A=1",)], "i string").select(tx.info_text(F.col("i"), "A"), tx.info_flag(F.col("i"), "A"))
+    assert "RLIKE" not in fresh._jdf.queryExecution().analyzed().toString().upper()
