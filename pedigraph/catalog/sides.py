@@ -52,7 +52,7 @@ def reference_context(spark: SparkSession, folder: str) -> DataFrame:
     s, key = F.col("l_suppkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
     rows = table(spark, folder, "lineitem").select(
         key.alias("rec"), F.concat(F.lit("chr"), (s % 22 + 1).cast("string")).alias("chrom"), (F.expr("l_suppkey DIV 22") * 256 + 33 + key % 190).alias("pos"),
-        F.lit("A").alias("ref"), F.when(key % 3 == 0, "AC").otherwise("G").alias("alt"), F.lit(None).cast("array<string>").alias("masks"))
+        F.lit("A").alias("ref"), F.when(key % 3 == 0, "AC").otherwise("G").alias("alt"), F.lit(None).cast("array<string>").alias("masks")).repartition("rec")  # a table has few row groups
     x = layers.region_layer(with_window(rows, pieces, 30, 31, 256), WIDE, True)
     return x.select("rec", "context", "homopolymer", F.concat_ws(";", "L3_region").alias("reasons"))
 

@@ -120,3 +120,10 @@ def test_info_and_contigs_without_patterns(spark):
     assert all(r[0] == r[1] for r in got) and [r[2] for r in got] == ["auto", "X", "MT", "MT", "X", "auto", "auto", "auto", "auto", "auto", "MT", "auto"]
     fresh = spark.createDataFrame([("A=1",)], "i string").select(tx.info_text(F.col("i"), "A"), tx.info_flag(F.col("i"), "A"))
     assert "RLIKE" not in fresh._jdf.queryExecution().analyzed().toString().upper()
+
+
+def test_homopolymer_runs_are_cut_without_patterns(spark):
+    column = genome.homopolymer_run(F.col("s"), F.col("c"))
+    df = spark.createDataFrame([("GGAAAAC", 4), ("NAAN", 1), ("ACGT", 4), ("A", 1), ("", 1), (None, 1), ("TTTNTT", 4)], "s string, c int")
+    assert [r[0] for r in df.select(column).collect()] == [4, 2, 1, 1, 0, 0, 3]
+    assert "regexp" not in df.select(column)._jdf.queryExecution().toString().lower()
