@@ -114,3 +114,12 @@ def test_connected_parts(spark, seed):
             part[a] = part[b] = min(part[a], part[b])
     got = {r.name: r.part for r in validation.connected_parts(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert got == part
+
+
+def test_common_beginnings_need_no_letters(spark):
+    from pedigraph.operators.normalise import shared_beginning
+
+    pairs = [("", "A"), ("A", ""), ("A", "A"), ("AC", "AG"), ("ACGT", "ACG"), ("ACG", "ACGTT"), ("T" * 129 + "A", "T" * 129 + "C"), ("T" * 64, "T" * 64), ("äß", "äa"), (None, "A")]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(shared_beginning(F.col("a"), F.col("b")).alias("n"))
+    assert [r[0] for r in df.collect()] == [0, 0, 1, 1, 3, 3, 129, 64, 1, None]
+    assert "regexp" not in df._jdf.queryExecution().toString().lower()
