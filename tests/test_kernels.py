@@ -127,3 +127,16 @@ def test_homopolymer_runs_are_cut_without_patterns(spark):
     df = spark.createDataFrame([("GGAAAAC", 4), ("NAAN", 1), ("ACGT", 4), ("A", 1), ("", 1), (None, 1), ("TTTNTT", 4)], "s string, c int")
     assert [r[0] for r in df.select(column).collect()] == [4, 2, 1, 1, 0, 0, 3]
     assert "regexp" not in df.select(column)._jdf.queryExecution().toString().lower()
+
+
+def test_genotype_values_that_are_asked_for_are_read_as_before(spark):
+    from pedigraph.functions.genotype import READS, add_genotypes
+
+    rows = [("0|1:12,3:20:12.5", 12, 3, 20, 0.2), ("1:1e1,2.7:.:7", 10, 2, 12, 2 / 12), ("./.:4,5,6:3:.", 4, 11, 15, 11 / 15), ("0/0", 0, 0, 0, None),
+            ("0/1:.,7:1e1:0.5", 0, 7, 10, 1.0), ("0/1:.:5:1f", 0, 0, 5, None)]
+    df = spark.createDataFrame([("GT:AD:DP:GQ", r[0]) for r in rows], "format string, call string")
+    got = add_genotypes(df, {"g": "call"}, READS).select("g.*")
+    assert got.columns == list(READS)
+    assert [tuple(r) for r in got.collect()] == [tuple(r[1:]) for r in rows]
+    whole = add_genotypes(df, {"g": "call"}).select("g.gq", "g.ploidy", "g.alt_count").collect()
+    assert [tuple(r) for r in whole] == [(12, 2, 1), (7, 1, 1), (None, 2, None), (None, 2, 0), (0, 2, 1), (None, 2, 1)]
