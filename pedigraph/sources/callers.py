@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pedigraph.functions.genotype import format_field, gt_called, gt_carries_alt, gt_text
 from pedigraph.functions.numeric import to_double
 from pedigraph.functions.text import bare_chrom, info_double
+from pedigraph.operators.common import computed
 from pedigraph.session import exists
 from pedigraph.sources.tables import last_by
 from pedigraph.sources.text import read_lines
@@ -119,15 +120,14 @@ def denovo_text_sites(lines: DataFrame, min_pp: float = 0.5) -> DataFrame:
     """
     def token(name):
         found = F.regexp_extract("value", rf"(?:^|\s){name}:\s+(\S+)", 1)
-        return F.when(found != "", found)
+        return F.when(F.col("value").contains(name.removesuffix(r"\S*")), F.nullif(found, F.lit("")))
 
     def first(key):
         return F.coalesce(*[token(n) for n in DNG_NAMES[key]])
 
-    rows = lines.where(F.col("value").startswith("DENOVO-")).select(
-        *[first(k).alias(k) for k in DNG_NAMES],
-        F.get(F.split(token(r"tgt_dnm\S*"), "/"), F.lit(0)).alias("child"),
-    )
+    # each token is cut out once: the filters below look at the finished texts
+    rows = computed(lines.where(F.col("value").startswith("DENOVO-")).select("value"), **{k: first(k) for k in DNG_NAMES},
+                    child=F.get(F.split(token(r"tgt_dnm\S*"), "/"), F.lit(0))).drop("value")
     bases = F.array_sort(F.array_distinct(F.filter(F.split("child", ""), lambda b: (b != F.col("ref")) & (b != ""))))
     named = F.split("alt", ",")
     use_child = F.col("child").isNotNull() & (F.length("ref") == 1) & (F.size(bases) > 0)
