@@ -115,3 +115,17 @@ def test_a_region_reads_only_its_blocks(spark, tmp_path):
         assert pushed.count() == 10 and pushed.rdd.getNumPartitions() == 1
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_places_between_segments_and_points_made_once(spark):
+    """Gaps, borders of chunks, nested and empty segments against all pairs; the points stand once in the plan."""
+    segments = [("1", 10, 40, 2), ("1", 20, 30, 1), ("1", 60, 70, 3), ("1", 90, 80, 0), ("2", 0, 200, 4), ("1", 130, 260, 5)]
+    points = spark.range(0, 300, 1, 3).selectExpr("if(id % 3 = 0, null, cast(id % 3 as string)) as c", "if(id % 50 = 7, null, id) as p", "id as n")
+    made = first_containing(points, spark.createDataFrame(segments, "c string, s long, e long, no long"), ["c"], "p", "s", "e", "no", ["no"], chunk=16)
+    want = {}
+    for c, p, n in points.collect():
+        inside = [no for d, s, e, no in segments if c == d and p is not None and s <= p <= e]
+        want[n] = (c, p, min(inside) if inside else None)
+    got = made.collect()
+    assert len(got) == 300 and {r["n"]: (r["c"], r["p"], r["no"]) for r in got} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 300") == 1
