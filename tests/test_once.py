@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pedigraph.catalog import interpretation
 from pedigraph.functions.numeric import double_list, largest
 from pedigraph.functions.text import info_double, info_flag, info_text, info_without
 
@@ -20,3 +21,8 @@ def test_other_keys_are_found_without_the_transcripts(spark):
         for read in (info_text, info_flag, info_double):
             assert all(r[0] == r[1] for r in df.select(read(F.col("i"), key), read(F.col("rest"), key)).collect()), (key, read)
     assert df.where(F.col("i").contains("|")).select("rest").first()[0].strip(";") == "A=1;B=3"
+
+
+def test_ranks_look_at_scores_that_are_there(spark):
+    plan = interpretation.priority_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" not in plan and "priority_rank" in plan
