@@ -1,10 +1,13 @@
 """Work is done once: what is read, cut and summed again would give the same results, only later."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pedigraph.catalog import interpretation
 from pedigraph.functions.numeric import double_list, largest
 from pedigraph.functions.text import info_double, info_flag, info_text, info_without
+from pedigraph.operators import graph as gr
 
 
 def test_largest_number_reads_what_the_list_reads(spark):
@@ -26,3 +29,14 @@ def test_other_keys_are_found_without_the_transcripts(spark):
 def test_ranks_look_at_scores_that_are_there(spark):
     plan = interpretation.priority_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "o_totalprice" not in plan and "priority_rank" in plan
+
+
+def test_contradictions_of_a_log(spark):
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.choice(["activates", "inhibits", "inhibits", "unknown", "modulates"]), i, rng.randrange(1, 6),
+             rng.choice(["supports"] * 9 + ["contradicts", "neutral"]), rng.random(), rng.random() < 0.7) for i in range(500)]
+    log = spark.createDataFrame(rows, "src string, dst string, sign string, seq long, tier int, polarity string, strength double, is_independent boolean")
+    for floor, evidence in ((0.2, log), (-0.5, log), (-0.1, log.where("seq % 7 = 0")), (0.2, log.where("false"))):
+        want = sorted(map(tuple, gr.contradictions(gr.with_support(gr.fold_edges(log), evidence), floor).collect()))
+        assert sorted(map(tuple, gr.contradictions_of(log, evidence, floor).collect())) == want
+        assert want or evidence is not log
