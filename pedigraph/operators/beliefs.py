@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pedigraph.functions.numeric import fixed, round_even
 from pedigraph.functions.stats import logistic
@@ -108,26 +108,35 @@ def entropy_bits(p: Column) -> Column:
     return F.sum(F.when(p > 0, -p * F.log2(p)).otherwise(0.0))
 
 
+def marked(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with ``_first``, true in one row of each tested hypothesis of an experiment."""
+    first = F.row_number().over(W.partitionBy("exp", "hyp").orderBy("outcome")) == 1
+    return outcomes.select("exp", "outcome", "hyp", "lik", first.alias("_first"))
+
+
 def information_gain(outcomes: DataFrame, prior: DataFrame, experiments: DataFrame) -> DataFrame:
-    """(exp, eig, value) of every experiment; two levels of map-side aggregation.
+    """(exp, eig, value) of every experiment.
 
     outcomes: exp, outcome, hyp, lik with one row per outcome and tested hypothesis;
     prior: hyp, share; experiments: exp, cost, feasibility.
     """
+    return marked_gain(marked(outcomes), prior, experiments)
+
+
+def marked_gain(outcomes: DataFrame, prior: DataFrame, experiments: DataFrame) -> DataFrame:
+    """``information_gain`` of marked outcomes: one map-side aggregation per outcome and one over its few rows."""
     joined = outcomes.join(prior.select("hyp", "share"), "hyp")
-    per_hyp = joined.groupBy("exp", "hyp").agg(F.max("share").alias("s"))
-    mass = per_hyp.groupBy("exp").agg(
-        F.sum("s").alias("mass"), F.sum(F.when(F.col("s") > 0, F.col("s") * F.log2("s")).otherwise(0.0)).alias("_sl"))
+    s, j = F.when(F.col("_first"), F.col("share")), F.col("j")
+    post = joined.withColumn("j", F.coalesce("lik", F.lit(0.0)) * F.col("share")).groupBy("exp", "outcome").agg(
+        F.sum("j").alias("pj"), F.sum(F.when(j > 0, j * F.log2(j)).otherwise(0.0)).alias("jl"),
+        F.sum(s).alias("_s"), F.sum(F.when(s > 0, s * F.log2(s))).alias("_sl"))
     # H = log2(mass) - sum(s log2 s) / mass for shares renormalised over the tested hypotheses
-    mass = mass.where(F.col("mass") > 0).select(
-        "exp", "mass", (F.log2("mass") - F.col("_sl") / F.col("mass")).alias("h_prior"))
-    joint = F.coalesce("lik", F.lit(0.0)) * F.col("share")
-    post = joined.withColumn("j", joint).groupBy("exp", "outcome").agg(
-        F.sum("j").alias("pj"), F.sum(F.when(F.col("j") > 0, F.col("j") * F.log2("j")).otherwise(0.0)).alias("jl"))
     # P(o) H(post) = (pj log2 pj - sum j log2 j) / mass
-    left = post.groupBy("exp").agg(
-        F.sum(F.when(F.col("pj") > 0, F.col("pj") * F.log2("pj") - F.col("jl")).otherwise(0.0)).alias("_h"))
-    gain = mass.join(left, "exp").select("exp", (F.col("h_prior") - F.col("_h") / F.col("mass")).alias("gain"))
+    whole = post.groupBy("exp").agg(
+        F.sum(F.when(F.col("pj") > 0, F.col("pj") * F.log2("pj") - F.col("jl")).otherwise(0.0)).alias("_h"),
+        F.sum("_s").alias("mass"), F.coalesce(F.sum("_sl"), F.lit(0.0)).alias("_sl"))
+    gain = whole.where(F.col("mass") > 0).select(
+        "exp", (F.log2("mass") - F.col("_sl") / F.col("mass") - F.col("_h") / F.col("mass")).alias("gain"))
     out = experiments.join(gain, "exp", "left")
     eig = F.greatest(F.coalesce("gain", F.lit(0.0)), F.lit(0.0)) * F.col("feasibility")
     return out.select("exp", "cost", "feasibility", eig.alias("eig"), (eig / F.greatest("cost", F.lit(0.5))).alias("value"))
@@ -159,29 +168,37 @@ def plan_experiments(outcomes: DataFrame, prior: DataFrame, experiments: DataFra
     """Greedy budgeted choice.  Each round is one distributed scoring job whose best row decides.
 
     At most ``max_experiments`` experiments are chosen, so there are few rounds; the
-    shares are rewritten after each one.
+    shares are rewritten after each one.  The outcomes are derived once for all rounds,
+    and the scores of a round once for all looks at them.
     """
-    from pedigraph.session import durable
+    from pedigraph.session import stored
 
     def entropy(shares):
         return float(shares.agg(entropy_bits(F.col("share")).alias("h")).first()["h"] or 0.0)
 
-    belief_now = durable(prior.select("hyp", "share"))
+    outcomes = stored(marked(outcomes))
+    experiments = stored(experiments)
+    belief_now = stored(prior.select("hyp", "share"))
     before = entropy(belief_now)
-    ranked = information_gain(outcomes, belief_now, experiments).join(experiments.select("exp", "ins"), "exp")
-    chosen, spent, left = [], 0.0, experiments
+
+    def scored():
+        return stored(marked_gain(outcomes, belief_now, experiments).join(experiments.select("exp", "ins"), "exp"))
+
+    scores = ranked = scored()
+    chosen, spent, still = [], 0.0, F.lit(True)
     while len(chosen) < max_experiments:
-        best = information_gain(outcomes, belief_now, left).join(left.select("exp", "ins"), "exp").orderBy(
-            F.desc("value"), F.asc("ins")).limit(1).collect()
+        best = scores.where(still).orderBy(F.desc("value"), F.asc("ins")).limit(1).collect()
         if not best or best[0]["eig"] <= 1e-6:
             break
         b = best[0]
-        left = left.where(F.col("exp") != b["exp"])
+        still = still & (F.col("exp") != b["exp"])
         if spent + b["cost"] > budget:
-            left = left.where(F.col("cost") + spent <= budget)
+            still = still & (F.col("cost") + spent <= budget)
             continue
         chosen.append(b["exp"])
         spent += b["cost"]
-        belief_now = durable(assume_likeliest(outcomes, belief_now, b["exp"]))
+        belief_now = stored(assume_likeliest(outcomes, belief_now, b["exp"]))
+        if len(chosen) < max_experiments:
+            scores = scored()
     return {"ranked": ranked, "chosen": chosen, "prior_bits": before, "residual_bits": entropy(belief_now),
             "belief": belief_now}

@@ -1,13 +1,15 @@
 """Work is done once: what is read, cut and summed again would give the same results, only later."""
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pedigraph.catalog import interpretation
 from pedigraph.functions.numeric import double_list, largest
 from pedigraph.functions.text import info_double, info_flag, info_text, info_without
-from pedigraph.operators import graph as gr
+from pedigraph.operators import beliefs as bel, graph as gr
 
 
 def test_largest_number_reads_what_the_list_reads(spark):
@@ -40,3 +42,28 @@ def test_contradictions_of_a_log(spark):
         want = sorted(map(tuple, gr.contradictions(gr.with_support(gr.fold_edges(log), evidence), floor).collect()))
         assert sorted(map(tuple, gr.contradictions_of(log, evidence, floor).collect())) == want
         assert want or evidence is not log
+
+
+def test_outcomes_of_a_plan_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    rows = [(e, o, h, ((e * 7 + h * 3 + o * 5) % 10) / 10) for e in range(4) for h in range(5) for o in range(2)]
+    outcomes = spark.createDataFrame(rows, "exp int, outcome int, hyp int, lik double").withColumn("lik", watched("lik"))
+    prior = spark.createDataFrame([(h, (h + 1) / 15) for h in range(5)], "hyp int, share double")
+    exps = spark.createDataFrame([(e, e, 2.0 + e, 1.0) for e in range(4)], "exp int, ins int, cost double, feasibility double")
+    plan = bel.plan_experiments(outcomes, prior, exps, 9.0, 3)
+    got = {r.exp: r.eig for r in plan["ranked"].collect()}
+    assert seen.value == len(rows)
+    for e in range(4):
+        lik = {(o, h): v for x, o, h, v in rows if x == e}
+        left = -sum((h + 1) / 15 * math.log2((h + 1) / 15) for h in range(5))
+        for o in range(2):
+            j = [lik[o, h] * (h + 1) / 15 for h in range(5)]
+            left += sum(v * math.log2(v / sum(j)) for v in j if v > 0)
+        assert got[e] == pytest.approx(max(left, 0), abs=1e-9)
+    assert plan["chosen"] and sum(2.0 + e for e in plan["chosen"]) <= 9
