@@ -254,6 +254,21 @@ def test_near_copy_stage_equals_brute_force(spark):
     assert kept == sorted(set(roots.values())) and len(kept) < len(texts) - 20
 
 
+def test_near_copy_stage_keeps_the_links_of_fingerprints(spark):
+    rng = random.Random(55)
+    words = [f"w{i}" for i in range(900)]
+    base = rng.choices(words, k=500)
+    copy = base[:]
+    for k in range(5, 500, 33):
+        copy[k] = rng.choice(words)
+    a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+    texts = [" ".join(base), " ".join(copy), " ".join(rng.choices(words, k=500))]
+    one, two = (simhash.fingerprint(t) & (1 << 64) - 1 for t in texts[:2])
+    assert 5 * len(a & b) < 4 * len(a | b) and (one ^ two).bit_count() <= simhash.RADIUS
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
