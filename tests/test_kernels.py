@@ -140,3 +140,24 @@ def test_genotype_values_that_are_asked_for_are_read_as_before(spark):
     assert [tuple(r) for r in got.collect()] == [tuple(r[1:]) for r in rows]
     whole = add_genotypes(df, {"g": "call"}).select("g.gq", "g.ploidy", "g.alt_count").collect()
     assert [tuple(r) for r in whole] == [(12, 2, 1), (7, 1, 1), (None, 2, None), (None, 2, 0), (0, 2, 1), (None, 2, 1)]
+
+
+def test_tails_below_a_limit_are_told_without_a_walk(spark):
+    rows = [(k, n, p) for n in (0, 1, 7, 30, 95, 400) for k in (-1, 0, 1, 2, 3, 5, 9, 14, 29, 60, 95, 180) for p in (0.005, 0.5, 0.995)]
+    df = spark.createDataFrame([*rows, (None, 9, 0.5), (4, None, 0.5), (4, 9, None)], "k long, n long, p double")
+    k, n, p = F.col("k"), F.col("n"), F.col("p")
+    for limit in (1e-4, 1e-3, 0.05, 0.7):
+        off = df.where(~(stats.binom_cdf_below(k, n, p, limit).eqNullSafe(stats.binom_cdf(k, n, p) < limit)
+                         & stats.binom_sf_below(k, n, p, limit).eqNullSafe(stats.binom_sf(k, n, p) < limit)))
+        assert off.count() == 0
+    tables = spark.createDataFrame([(a, b, c, d) for a in (0, 1, 8, 40) for b in (0, 3, 22) for c in (0, 2, 17) for d in (0, 1, 30)], "a long, b long, c long, d long")
+    cells = [F.col(c) for c in "abcd"]
+    got = tables.select(stats.fisher_exact(*cells).alias("p"), stats.fisher_exact(*cells, limit=1e-3).alias("q")).collect()
+    assert all(r.q == r.p if r.p < 1e-3 else 1e-3 <= r.q <= r.p * (1 + 1e-9) for r in got) and any(r.p < 1e-3 for r in got)
+
+
+def test_short_numbers_as_general_text(spark):
+    values = [3.1, 30.0, -13.0, 999999.0, 1000000.0, 99999.95, 123456.7, 0.25, 12.5, -7.125, 1e22, 100000.5, 9.999999, 2.0]
+    for sig in (3, 4, 6):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", nm.general(F.col("v"), sig).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.v:.{sig}g}" for r in got]
